@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, slices, text_bytes, written
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 13
 SAMPLE_DOCS = 20_000
 UNIT = 1_000_000  # of a key, for exact comparison
 
