@@ -10,7 +10,7 @@ Two forms:
 * `dedupe_corpus` removes spans that occur in a document with a smaller doc_id. There the reference is the corpus
   itself, which no broadcast can hold and which no document can be streamed against whole, so shards and texts
   meet by a key that they share: every window of `window` words has an anchor, the least hash among its 5-word
-  shingles, and equal windows have equal anchors. Documents lie in blocks of a few megabytes. (1) Blocks send the
+  shingles, and equal windows have equal anchors. Documents lie in blocks of some megabytes. (1) Blocks send the
   anchors' short hashes, a few bytes each; (2) buckets answer which anchors two documents share; (3) blocks send
   each different segment around a shared anchor once, as word codes with its smallest doc_id; (4) shards build
   automata, with the first document of every state, and answer each window's first document; (5) blocks
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Words, grams, slices, text_bytes
 
 WINDOW, ANCHOR = 13, 5
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Bytes of a reference that one broadcast automaton shard may hold, and that a reference may have at all.
 SHARD_BYTES, REFERENCE_BYTES = 1 << 20, 64 << 20
 
@@ -354,9 +354,8 @@ def _dedupe(docs: DataFrame, block_bytes: int, digest: bool) -> DataFrame:
         cuts = np.split(twice, np.cumsum(sizes)[:-1])
         return send([(key[0].as_py(), b, np.packbits(x).tobytes()) for (b, _), x in zip(found, cuts, strict=True)])
 
-    def shared(block: Block, answers: pa.Table) -> np.ndarray:
+    def shared(block: Block, bits: dict[int, bytes]) -> np.ndarray:
         anchors, _ = block.anchors()
-        bits = dict(_answers(answers, "part"))
         ok = np.zeros(len(anchors), bool)
         for p, i in _by_part(_part(anchors, parts), parts):
             ok[i] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=len(i)).astype(bool)
@@ -366,15 +365,13 @@ def _dedupe(docs: DataFrame, block_bytes: int, digest: bool) -> DataFrame:
         if not rows.num_rows:
             return send([])
         block = Block(rows)
-        known = shared(block, answers)
+        known = shared(block, dict(_answers(answers, "part")))
         s = block.segments(known)
         u, out = s.unique, []
         for p, i in _by_part(_part(s.anchor[u], parts), parts):
             m = u[i]
             codes = block.code[_ranges(s.start[m], s.words[m])]
             out.append((p, key[0].as_py(), np.uint32(len(m)).tobytes() + _binary([s.anchor[m], s.content[m], s.ids[m], s.words[m].astype(np.uint8), codes])))
-        # The block keeps what is shared: a later pass needs no second answer.
-        out.append((-1, key[0].as_py(), _binary([known])))
         return send(out)
 
     def answer_segments(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -402,7 +399,7 @@ def _dedupe(docs: DataFrame, block_bytes: int, digest: bool) -> DataFrame:
             return result([], [], [], [])
         block = Block(rows)
         data = dict(_answers(answers, "part"))
-        known = np.frombuffer(data.pop(-1, b""), "<u8")
+        known = shared(block, {-1 - p: x for p, x in data.items() if p < 0})
         s = block.segments(known)
         lost = np.zeros(len(block.doc) + 1, np.int32)
         u = s.unique
@@ -441,11 +438,9 @@ def _dedupe(docs: DataFrame, block_bytes: int, digest: bool) -> DataFrame:
     asked = ours.applyInArrow(ask_anchors, message)
     answered = asked.groupBy("part").applyInArrow(answer_anchors, message)
     sent = ours.cogroup(answered.groupBy("block")).applyInArrow(ask_segments, message)
-    from .common import written
-
-    sent = written(sent, "segments")
-    back = sent.where("part >= 0").groupBy("part").applyInArrow(answer_segments, message)
-    replies = back.unionByName(sent.where("part < 0"))
+    back = sent.groupBy("part").applyInArrow(answer_segments, message)
+    # One query, so that the texts are dealt out once and that exchange serves all three passes.
+    replies = back.unionByName(answered.withColumn("part", -1 - F.col("part")))
     return ours.cogroup(replies.groupBy("block")).applyInArrow(finish, f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'text'} string")
 
 
