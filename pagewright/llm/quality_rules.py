@@ -25,8 +25,8 @@ SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 class Limits:
     """Largest share of word characters in repeated n-grams by n, in repeated lines; symbols a word; base rules."""
 
-    grams: tuple[tuple[int, float], ...] = ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
-    line_chars: float = 0.20
+    grams: tuple[tuple[int, float], ...] = ((5, 0.30), (6, 0.28), (7, 0.26), (8, 0.24), (9, 0.22), (10, 0.20))
+    line_chars: float = 0.30
     symbols: float = 0.10
     min_words: int = 20
     repeat_words: int = 30  # in a hundred, in 8-word windows
