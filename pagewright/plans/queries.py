@@ -180,7 +180,7 @@ def _(spark, d):
     return S.load(spark, d, "documents").select("doc_id", F.posexplode(T.hard_split(F.col("text"), 500)).alias("part", "piece"))
 
 
-CHUNK_SQL = r"""with recursive src as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents where length(text) < 3000),
+CHUNK_SQL = r"""with recursive src as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents),
   sent as (select doc_id, t, list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as s from src),
   fold as (select doc_id, s, 1 as i, cast([] as varchar[]) as done, '' as cur from sent where length(t) > 400
     union all select doc_id, s, i + 1, case when cur <> '' and length(cur) + 1 + length(s[i]) > 400 then list_append(done, cur) else done end,
@@ -193,13 +193,7 @@ CHUNK_SQL = r"""with recursive src as (select doc_id, regexp_replace(text, '^\s+
 
 @query("chunk_text", CHUNK_SQL)
 def _(spark, d):
-    docs = S.load(spark, d, "documents").where(F.char_length("text") < 3000)
-    return docs.select("doc_id", F.posexplode(T.chunk_text(F.col("text"), 400)).alias("n", "chunk"))
-
-
-@query("chunk_documents")
-def _(spark, d):
-    return S.load(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_text(F.col("text"), 1200)).alias("n", "chunk"))
+    return S.load(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_text(F.col("text"), 400)).alias("n", "chunk"))
 
 
 # -- placeholder tokens
