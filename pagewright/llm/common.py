@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker turns into arrays at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: A key with over one in so many rows is hot; there are fewer such keys than this, whatever the table's size.
+HOT = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +52,18 @@ def unboxed(df: DataFrame, columns: list[str], **changed) -> DataFrame:
     return df.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with `keyed`, which has one row a key and in `n` the number of `rows` with it; total: all rows.
+
+    Hot keys, fewer than HOT by definition, are broadcast, so that their rows stay where they are; the others are
+    joined by shuffle, where no key has over one in HOT of the rows.
+    """
+    hot = keyed.where(F.col("n") * HOT > total).drop("n")
+    cold = keyed.where(F.col("n") * HOT <= total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

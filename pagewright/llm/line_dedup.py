@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, boxed, unboxed, written
+from .common import HOT, SPACE, boxed, spread_join, unboxed, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,9 +39,12 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """doc_id, bits: map of line number div 64 to the 64 lines' drop bits. Only documents that lose a line."""
     seen = written(occurrences(docs, min_chars), "lines")
-    per_doc = seen.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    common = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    lost = seen.join(common.select("h1", "h2", "keeper"), ["h1", "h2"]).where("doc_id <> keeper")
+    total = seen.count()
+    per_doc = seen.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
+    found = per_doc.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    # Hot keys of too few documents are there to be dealt apart, and lose nothing.
+    common = written(found.where((F.col("n_docs") >= min_docs) | (F.col("n") * HOT > total)), "common-lines")
+    lost = spread_join(seen, common, ["h1", "h2"], total).where((F.col("n_docs") >= min_docs) & (F.col("doc_id") != F.col("keeper")))
     bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
     words = lost.groupBy("doc_id", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
