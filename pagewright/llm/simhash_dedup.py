@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, slices, text_bytes, unboxed, written
+from .common import boxed, slices, spread_join, text_bytes, unboxed, written
 from .components import components
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
@@ -141,13 +141,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of fingerprints."""
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     joined = written(components(links(nodes.select("fp"), radius)), "components")
     named = joined.join(nodes, joined["node"] == nodes["fp"]).select("fp", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     moved = named.join(least, "root").select("fp", "least")
-    groups = nodes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(groups, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    groups = written(nodes.join(moved, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "groups")
+    return spread_join(prints, groups, ["fp"], prints.count()).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def fingerprint_groups(docs: DataFrame) -> DataFrame:
