@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from . import constants as C
 
 
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import interleave
+from .text import bound, interleave
 
 
 def token(kind: str, prefix: str, index: Column) -> Column:
@@ -28,16 +28,27 @@ def protect_entities(text: Column, prefix: str = "", mode: str = "default") -> t
 
 def protect_terms(text: Column, terms: dict[str, str], kind: str, prefix: str = "", ignore_case: bool = False) -> tuple[Column, Column]:
     """(text, map of token to the term's replacement): longest term first, a token a term that occurs."""
-    used, entries = F.lit(0), []
+    rules = []
     for term in sorted({t.strip() for t in terms if t.strip()}, key=lambda t: (-len(t), t)):
         whole = all(c.isascii() and (c.isalnum() or c in "_-") for c in term)
         literal = "".join("\\" + c if not c.isalnum() else c for c in term)
         pattern = ("(?i)" if ignore_case else "") + (rf"(?<![A-Za-z0-9_]){literal}(?![A-Za-z0-9_])" if whole else literal)
-        here = text.rlike(pattern)
-        name = token(kind, prefix, used)
-        entries.append(F.when(here, F.struct(name.alias("token"), F.lit(terms[term]).alias("term"))))
-        text, used = F.when(here, F.regexp_replace(text, F.lit(pattern), name)).otherwise(text), used + here.cast("int")
-    return text, F.map_from_entries(F.array_compact(F.array(*entries)))
+        rules.append(F.struct(F.lit(pattern).alias("pattern"), F.lit(terms[term]).alias("term")))
+    # A fold over the rules: the expression's size doesn't depend on nested copies of the text.
+    none = F.array().cast("array<struct<token:string,term:string>>")
+    if not rules:
+        return text, F.map_from_entries(none)
+
+    def step(state: Column, rule: Column) -> Column:
+        made = token(kind, prefix, F.size(state["entries"]))
+        now = F.struct(
+            F.regexp_replace(state["text"], rule["pattern"], made).alias("text"),
+            F.concat(state["entries"], F.array(F.struct(made.alias("token"), rule["term"].alias("term")))).alias("entries"),
+        )
+        return F.when(F.rlike(state["text"], rule["pattern"]), now).otherwise(state)
+
+    done = F.aggregate(F.array(*rules), F.struct(text.alias("text"), none.alias("entries")), step)
+    return done["text"], F.map_from_entries(done["entries"])
 
 
 def _lowered(mapping: Column) -> Column:
@@ -65,4 +76,6 @@ def restore_spaced(text: Column, mapping: Column) -> Column:
 
 
 def restore(text: Column, mapping: Column) -> Column:
-    return restore_spaced(restore_fuzzy(restore_exact(text, mapping), mapping), mapping)
+    """The three in order, each on the one before's result."""
+    exact = restore_exact(text, mapping)
+    return bound(exact, lambda x: bound(restore_fuzzy(x, mapping), lambda y: restore_spaced(y, mapping)))
