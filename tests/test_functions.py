@@ -51,3 +51,12 @@ def test_streaming_memory(spark, tmp_path):
     q = page_log.upsert_memory(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert page_log.current(spark.read.parquet(str(tmp_path / "out"))).count() == m.count()
+
+
+def test_many_terms(spark):
+    """A long glossary is one fold; unused and empty terms change nothing."""
+    terms = {f"term{i}": f"termo{i}" for i in range(120)} | {" ": "x", "a.b": "c"}
+    text, mapping = K.protect_terms(F.col("t"), terms, "GLOS")
+    df = spark.createDataFrame([("term7 and term70 or a.b axb",), ("none",), ("",), (None,)], "t string").select(K.restore(text, mapping).alias("r"))
+    assert [r.r for r in df.collect()] == ["termo7 and termo70 or c axb", "none", "", None]
+    assert spark.createDataFrame([("a",)], "t string").select(K.protect_terms(F.col("t"), {}, "GLOS")[0].alias("r")).first().r == "a"
