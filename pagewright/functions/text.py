@@ -90,8 +90,9 @@ def match_case(new: Column, old: Column) -> Column:
 
 def interleave(text: Column, pattern: str, made) -> Column:
     """text with match i (from 0) replaced by made(match, i)."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.concat(F.array_join(F.transform(found, lambda x, i: F.concat(F.get(gaps, i), made(x, i))), ""), F.element_at(gaps, -1))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    joined = lambda gaps: F.concat(F.array_join(F.transform(found, lambda x, i: F.concat(F.get(gaps, i), made(x, i))), ""), F.element_at(gaps, -1))
+    return bound(F.split(text, pattern, -1), joined)
 
 
 def _respelled(pattern: str, new: str):
@@ -103,7 +104,7 @@ def ptbr(text: Column) -> Column:
     tokens, gaps = F.regexp_extract_all(text, F.lit(C.TOKEN), F.lit(0)), F.split(text, C.TOKEN, -1)
     for pattern, new in C.PT_BR_RULES:
         gaps = F.transform(gaps, _respelled("(?i)(?U)" + pattern, new))
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(tokens, i), F.lit("")))), "")
+    return bound(tokens, lambda kept: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit("")))), ""))
 
 
 def short(c: Column, n: int) -> Column:

@@ -56,13 +56,18 @@ def _lowered(mapping: Column) -> Column:
 
 
 def restore_exact(text: Column, mapping: Column) -> Column:
-    return interleave(text, C.TOKEN, lambda x, i: F.coalesce(F.try_element_at(_lowered(mapping), F.lower(x)), x))
+    return bound(_lowered(mapping), lambda names: interleave(text, C.TOKEN, lambda x, i: F.coalesce(F.try_element_at(names, F.lower(x)), x)))
 
 
 def _rebuilt(text: Column, mapping: Column, pattern: str) -> Column:
     part = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
-    name = lambda i: F.lower(F.concat(F.lit("ZXQ"), F.get(part(1), i), F.get(part(2), i), F.lit("X"), F.lpad(F.get(part(3), i), 4, "0"), F.lit("ZXQ")))
-    return interleave(text, pattern, lambda x, i: F.coalesce(F.try_element_at(_lowered(mapping), name(i)), x))
+    parts = F.struct(part(1).alias("kind"), part(2).alias("prefix"), part(3).alias("index"), _lowered(mapping).alias("names"))
+
+    def rebuilt(s: Column) -> Column:
+        name = lambda i: F.lower(F.concat(F.lit("ZXQ"), F.get(s["kind"], i), F.get(s["prefix"], i), F.lit("X"), F.lpad(F.get(s["index"], i), 4, "0"), F.lit("ZXQ")))
+        return interleave(text, pattern, lambda x, i: F.coalesce(F.try_element_at(s["names"], name(i)), x))
+
+    return bound(parts, rebuilt)
 
 
 def restore_fuzzy(text: Column, mapping: Column) -> Column:
