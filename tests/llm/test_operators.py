@@ -12,7 +12,8 @@ from conftest import SF
 from tokenizers import Tokenizer
 
 from pagewright.llm import bpe, components, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, topk_search
-from pagewright.llm.common import table
+from pagewright.llm import common
+from pagewright.llm.common import spread_join, table
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, kept string, bits string"
@@ -277,3 +278,21 @@ def test_pipeline(spark):
     n = table(spark, SF, "documents").count()
     docs = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     assert 0.8 * n < len(docs) < n
+
+
+@pytest.mark.parametrize("total", [1, 100_000, 10**9])
+def test_spread_join(total, spark):
+    """The same rows whether all keys, some (those with over 50 rows) or none are hot."""
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(25 * k + 1)] + [(None, 1), (77, 1)], "k long, i long")
+    keyed = spark.createDataFrame([(k, 25 * k + 1, f"v{k}") for k in range(6)] + [(99, 1, "none")], "k long, n long, v string")
+    got = collections.Counter(tuple(r) for r in spread_join(rows, keyed, ["k"], total).select("k", "i", "v").collect())
+    assert got == collections.Counter((k, i, f"v{k}") for k in range(6) for i in range(25 * k + 1))
+
+
+@pytest.mark.parametrize("share", [1, 10])
+def test_cold_lines(share, spark, odd, monkeypatch):
+    """Dropped lines and groups don't depend on which keys are hot."""
+    want = [sorted(map(repr, f(odd).collect())) for f in (line_dedup.line_digest, simhash_dedup.fingerprint_groups)]
+    monkeypatch.setattr(common, "HOT", share)
+    monkeypatch.setattr(line_dedup, "HOT", share)
+    assert want == [sorted(map(repr, f(odd).collect())) for f in (line_dedup.line_digest, simhash_dedup.fingerprint_groups)]
