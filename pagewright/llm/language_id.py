@@ -4,7 +4,8 @@ A known word has a log frequency per language. An unseen word is scored by its l
 some language has seen, from N down to 1 at each place. A document's score is the sum over its words.
 
 The word table is fitted on a bounded sample of the labelled rows (`sample_docs`, chosen by a hash of doc_id)
-and keeps the most frequent `vocabulary` words of each language; every document is predicted from its whole text.
+and keeps the most frequent `vocabulary` words of each language; of words as frequent as the last of them, a share
+chosen by a hash of the word. Every document is predicted from its whole text.
 
 Defined cases: null text and text without a letter give `und` with score 0, as does everything if no row is
 labelled; rows with a null lang are never learnt from; a null doc_id is never learnt from but is predicted.
@@ -21,10 +22,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, unboxed, boxed
+from .common import boxed, slices, text_bytes, unboxed, written
 
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -39,14 +39,25 @@ def held_out(doc_id: Column) -> Column:
 def word_counts(docs: DataFrame, sample_docs: int, vocabulary: int) -> DataFrame:
     """lang, word, n of the sampled labelled documents."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    n = labelled.select("doc_id").count()
+    n = docs.where("lang is not null and doc_id is not null").count()
     share = min(1.0, sample_docs / max(1, n))
     if share < 1:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     words = labelled.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> '' and char_length(word) <= 40")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= vocabulary).drop("rank")
+    counts = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
+    # Ranked by count and not by word: n words have under sqrt(2 n) different counts, and the sample bounds n.
+    room: dict[str, int] = {}
+    shares: dict[str, tuple[int, float]] = {}
+    for lang, n, size in sorted((tuple(r) for r in counts.groupBy("lang", "n").agg(F.count("*")).collect()), key=lambda r: -r[1]):
+        left = room.setdefault(lang, vocabulary)
+        if left > 0:
+            shares[lang] = n, min(1.0, left / size)
+            room[lang] = left - size
+    if not shares:
+        return counts
+    least = F.create_map(*[x for lang, (n, part) in shares.items() for x in (F.lit(lang), F.struct(F.lit(n).alias("n"), F.lit(int(part * 1_000_000)).alias("part")))])[F.col("lang")]
+    tied = (F.col("n") == least["n"]) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < least["part"])
+    return counts.where((F.col("n") > least["n"]) | tied)
 
 
 @dataclass
