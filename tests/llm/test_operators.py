@@ -200,6 +200,16 @@ def test_language_held_out(docs, spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in out) >= 0.95 * len(out) and all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_vocabulary(spark):
+    rows = [(i, "en", "often " * 3 + "seldom seldom " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))) for i in range(2)] + [(9, "de", "nur dies"), (10, None, "never"), (None, "de", "nie")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    en = lambda size: {r.word: r.n for r in language_id.word_counts(docs, 100, size).where("lang = 'en'").collect()}
+    assert en(1) == {"often": 6} and en(2) == {"often": 6, "seldom": 4} and len(en(602)) == len(en(10_000)) == 602
+    assert 200 < len(en(302)) < 400 and en(302) == en(302)  # of the tied words a share
+    assert {r.word for r in language_id.word_counts(docs, 100, 10).where("lang = 'de'").collect()} == {"nur", "dies"}
+    assert language_id.word_counts(docs.limit(0), 100, 10).count() == 0
+
+
 def test_language_stage(odd):
     out = language_id.keep_languages(odd)
     assert out.columns == odd.columns and {0, 1, 2}.isdisjoint(r.doc_id for r in out.collect())
