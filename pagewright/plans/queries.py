@@ -16,6 +16,7 @@ from ..operators import blocks as B
 from ..operators import memory as M
 from ..operators import packing as P
 from ..operators import qa as Q
+from ..operators import translation as O
 from ..sources import fixtures as S
 from ..sources.fixtures import with_inputs
 
@@ -303,6 +304,12 @@ def _(spark, d):
     return M.translate_many(requests(spark, d), S.memory(spark, d), dummy).select("conv_id", "turn", "translated_text")
 
 
+@query("translate_one")
+def _(spark, d):
+    options = {"glossary": {"table": "quadro"}, "terms": ["API"]}
+    return O.translate_one(requests(spark, d), S.memory(spark, d), lambda chunk: chunk, **options).select("conv_id", "turn", "translated_text")
+
+
 @query("oversize_route", "select conv_id, turn, length(text) > greatest(50, cast(floor(400 * 0.8) as int)) as alone from conversations")
 def _(spark, d):
     return S.load(spark, d, "conversations").select("conv_id", "turn", (F.char_length("text") > max(50, int(400 * 0.8))).alias("alone"))
