@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives, with DataFrame operations only.
 
-Candidates are words with a long run of key-like characters, or a shorter one after a telling key name. The
-forest judges each on its length, the transitions between classes of characters, the share of it that dictionary words cover, the
+Candidates are all long runs of key-like characters of a word, and shorter ones after a telling key name or as
+password of a URL. The segments of a JWT are one run. The forest judges each on its length, the transitions between classes of characters, the share of it that dictionary words cover, the
 path it lies in (key name, URL, file name) and its neighbouring words. It is fitted on labelled findings: a table
 (word, before, after, is_secret), by default a generated one of `FINDINGS` rows with keys of several makers
 beside hashes, ids, numbers, names and placeholders.
@@ -29,7 +29,8 @@ TELLING = "passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|privat
 HARMLESS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|etag|revision|build|version|order|invoice|isbn|phone|tel|example|sample|dummy|placeholder|fixture"
 DICTIONARY = "about|access|account|admin|after|array|backup|block|build|cache|change|check|class|client|cloud|code|config|content|count|create|data|date|default|demo|detail|device|document|download|dummy|email|entry|error|event|example|export|field|file|final|first|folder|format|frame|from|function|group|home|image|import|index|input|item|label|license|line|list|local|login|mail|main|manager|message|model|module|name|network|number|object|option|order|output|page|param|part|password|path|picture|place|print|product|project|public|query|record|release|report|request|result|sample|schema|screen|script|search|secret|section|server|service|session|setting|source|stage|start|state|status|string|style|summary|system|table|target|template|test|text|this|thumb|time|title|token|total|track|type|update|upload|user|value|version|video|view|widget|window|with|work"
 
-KEYLIKE = r"[A-Za-z0-9+/_\-]{8,}={0,2}"
+#: A run of key-like characters; of a JWT all segments.
+RUN = r"eyJ[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+|[A-Za-z0-9+/_\-]+"
 
 
 def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -46,16 +47,40 @@ def candidates(docs: DataFrame) -> DataFrame:
               concat_ws(' ', try_element_at(words, greatest(i - 1, 1)), try_element_at(words, greatest(i, 1))) as before,
               coalesce(try_element_at(words, i + 2), '') as after)),
             s -> char_length(s.word) >= 8 and s.word rlike '[0-9]' and (s.word rlike '[A-Za-z0-9+/_\\\\-]{{16,}}'
-              or (s.word rlike '[A-Za-z0-9+/_\\\\-]{{8,}}' and concat(s.before, ' ', s.word) rlike '(?i)({TELLING})')))"""
+              or (s.word rlike '[A-Za-z0-9+/_\\\\-]{{8,}}' and (concat(s.before, ' ', s.word) rlike '(?i)({TELLING})' or s.word rlike ':[^/@]+@'))))"""
     )
     return docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.at", "s.word", "s.before", "s.after")
 
 
 def parts(found: DataFrame) -> DataFrame:
-    """The word's key name (before the last = or :) and its value, the longest key-like run's first match after it."""
-    value = F.regexp_extract("word", rf"^(?:.*[=:])?[^A-Za-z0-9+/_\-]*({KEYLIKE})", 1)
-    value = F.when(value == "", F.regexp_extract("word", f"({KEYLIKE})", 1)).otherwise(value)
-    return _fixed(found, value=value, key=F.regexp_extract("word", r"^(.*?)[=:][^=:]*$", 1)).where("value <> ''")
+    """A row for each run of the word that may be a key: its value with padding, the key name that it is assigned
+    to, the words or runs around it, and `piece`, what lies between the word's separators around it."""
+    gap, last = r"[^A-Za-z0-9+/_\-]*", r"[^A-Za-z0-9+/_\-]*$"
+    runs = _fixed(
+        found, runs=F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)), gaps=F.regexp_extract_all("word", F.lit(f"({gap})(?:{RUN})"), F.lit(1)),
+        tail=F.regexp_extract("word", last, 0))
+    # get() counts from 0 and is null outside.
+    one = """transform(runs, (x, i) -> struct(x as run, gaps[i] as gap, coalesce(get(gaps, i + 1), tail) as next_gap,
+        concat(coalesce(get(gaps, i - 2), ''), coalesce(get(runs, i - 2), ''), coalesce(get(gaps, i - 1), ''), coalesce(get(runs, i - 1), '')) as ahead,
+        coalesce(get(runs, i + 1), '') as behind, i as place, i = size(runs) - 1 as is_last))"""
+    r = runs.withColumn("r", F.explode(F.expr(f"filter({one}, r -> char_length(r.run) >= 8)")))
+    padding = F.regexp_extract("r.next_gap", r"^(={1,2})(?:[^=]|$)", 1)
+    padding = F.when((padding == F.col("r.next_gap")) & ~F.col("r.is_last"), "").otherwise(padding)
+    assigned = F.col("r.gap").rlike(r"[=:][\"'\[(\\]*$") & (F.col("r.place") > 0)
+    kept = [c for c in found.columns if c not in ("before", "after")]
+    return _fixed(
+        r, value=F.concat("r.run", padding), key=F.when(assigned, F.regexp_extract("r.ahead", r"([^,;{}&?]*)$", 1)).otherwise(""),
+        own_before=F.when(F.col("r.place") < 2, F.col("before")).otherwise(F.regexp_extract("r.ahead", r"^(.*)[,;{}&?]", 1)),
+        own_after=F.when(F.col("r.is_last"), F.col("after")).otherwise(F.col("r.behind")),
+        piece=F.concat(F.regexp_extract(F.concat("r.ahead", "r.gap"), r"([^,;{}&?\"']*)$", 1), "r.run", F.regexp_extract("r.next_gap", r"^([^,;{}&?\"']*)", 1), F.when(F.col("r.next_gap").rlike(r"[,;{}&?\"']"), "").otherwise(F.col("r.behind"))),
+        userinfo=F.col("r.gap").rlike(":$") & F.col("r.next_gap").rlike("^@"),
+    ).select(*kept, F.col("own_before").alias("before"), F.col("own_after").alias("after"), "value", "key", "piece", "userinfo").where(_worth())
+
+
+def _worth() -> Column:
+    """Whether a run is long enough to be judged: 16 characters, or 8 with a telling name."""
+    telling = F.lower(F.concat_ws(" ", "before", "key")).rlike(TELLING)
+    return F.col("value").rlike("[0-9]") & ((F.char_length("value") >= 16) | telling | F.col("userinfo"))
 
 
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -77,7 +102,8 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "known_prefix": flag(v.rlike("^(AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|npm_|eyJ)")),
         "telling": flag(near.rlike(TELLING)),
         "assigned": flag((F.col("key") != "") | F.trim(F.col("before")).rlike("[=:]$")),
-        "path": flag(F.col("word").rlike(r"://|@|/[\w.-]+/|\.[a-z]{2,5}\b")),
+        "path": flag(F.col("piece").rlike(r"://|@|/[\w.-]+/|\.[a-z]{2,5}\b")),
+        "userinfo": flag(F.col("userinfo")),
         "harmless_before": flag(near.rlike(HARMLESS)),
         "harmless_after": flag(F.lower("after").rlike(HARMLESS)),
         "placeholder": flag(F.lower(v).rlike(r"example|xxxx|your|changeme|placeholder|dummy|12345678|(.)\1{5,}")),
@@ -86,7 +112,8 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """word, before, after, is_secret: generated findings of twenty kinds, half of them secrets."""
+    """word, before, after, secret, is_secret: generated findings of many kinds. secret: the run of the word that
+    is the secret; where null, its longest."""
     i = _fixed(spark.range(n), hex=F.sha2(F.col("id").cast("string"), 256), b64=F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id")), 256))), r=F.xxhash64("id") % 7)
     i = _fixed(i, plain=F.regexp_replace("b64", "[^A-Za-z0-9]", ""), number=F.regexp_replace("hex", "[^0-9]", ""))
     plain, number = "plain", "number"
@@ -101,20 +128,36 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     others = [
         ("left(hex, 40)", "'at commit'", prose), ("concat('sha256:', hex)", "'the digest'", prose),
         ("concat_ws('-', left(hex, 8), substr(hex, 9, 4), substr(hex, 13, 4), substr(hex, 17, 4), right(hex, 12))", prose, prose),
-        (f"concat(left({number}, 16), '.')", prose, prose), ("concat('https://example.org/', left(hex, 16), '/index.html')", prose, prose),
+        (f"concat(left({number}, 16), '.')", prose, prose), ("concat('https://example.org/', left(hex, 16), '/index.html')", prose, prose), ("concat('https://db.example.org:8443/', left(hex, 20), '/page?id=', left(hex, 18))", prose, prose),
+        (f"concat('{{\"region\":\"eu-central-', left({number}, 1), '\",\"build\":\"', left(hex, 32), '\"}}')", prose, "''"), ("concat('host=db-server-', left(b64, 0), cast(id % 90 as string), ',commit=', left(hex, 40))", prose, prose),
         (f"concat('user', left({number}, 3), '@mail', left({number}, 1), '.example.com')", prose, prose),
         ("concat('document_version_', cast(id % 90 as string), '_final_report')", prose, prose), ("'api_key=YOUR_API_KEY_12345678'", prose, "'example'"),
         (f"concat('thumbnail-image-', left({number}, 4), 'x', right({number}, 3))", prose, prose), (f"concat('token_count=', left({number}, 9), '00000000')", prose, prose),
     ]
+    # Several runs in a word: word, before, after and the run that is the secret.
+    jwt = f"concat('eyJ', left({plain}, 17), '.eyJ', left(hex, 30), '.', left(b64, 20), right({plain}, 12))"
+    aws, ghp, short = f"concat('AKIA', upper(left({plain}, 16)))", f"concat('ghp_', left({plain}, 36))", f"left({plain}, 18)"
+    many = [
+        (f"concat('{{\"a\":\"', {ghp}, '\",\"region\":\"eu-central-', left({number}, 1), '\"}}')", "''", "''", ghp), (f"concat('{{\"aws\":\"', {aws}, '\",\"zone\":\"us-east-1-zone-', left({number}, 1), '\",\"count\":', left({number}, 9), '}}')", prose, "''", aws),
+        (f"concat('https://user:', {short}, '@db.internal:', left({number}, 4), '/path-name')", prose, prose, short), (f"concat('postgres://admin', left({number}, 2), ':', {short}, '@host-', left({number}, 2), '.example.org/data_', left({number}, 4))", prose, prose, short),
+        (f"concat('password=', left(hex, 18), ',host=db-server-', left({number}, 2))", prose, prose, "left(hex, 18)"), (f"concat('user=service-account-', left({number}, 2), ';pwd=', {short})", prose, prose, short),
+        (f"concat('mode=read-write-', left({number}, 2), '&token=', left(hex, 32), '&page=', left({number}, 9))", prose, prose, "left(hex, 32)"), (jwt, prose, prose, jwt), (f"concat('token=', {jwt})", prose, prose, jwt),
+    ]
+    kinds = [(*x, "cast(null as string)", 1.0) for x in secrets] + [(*x, 1.0) for x in many] + [(*x, "''", 0.0) for x in others]
     chosen = None
-    for k, (word, before, after) in enumerate([x for pair in zip(secrets, others, strict=True) for x in pair]):
-        row = F.struct(F.expr(word).alias("word"), F.expr(before).alias("before"), F.expr(after).alias("after"), F.lit(float(1 - k % 2)).alias("is_secret"))
-        chosen = F.when(F.col("id") % 20 == k, row) if chosen is None else chosen.when(F.col("id") % 20 == k, row)
+    for k, (word, before, after, secret, label) in enumerate(kinds):
+        row = F.struct(F.expr(word).alias("word"), F.expr(before).alias("before"), F.expr(after).alias("after"), F.expr(secret).alias("secret"), F.lit(label).alias("is_secret"))
+        chosen = F.when(F.col("id") % len(kinds) == k, row) if chosen is None else chosen.when(F.col("id") % len(kinds) == k, row)
     return _fixed(i, s=chosen).select("s.*")
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
-    rows, names = features(parts(findings))
+    """findings: word, before, after, is_secret; and secret where a word has several runs, otherwise the longest is meant."""
+    given = F.col("secret") if "secret" in findings.columns else F.lit(None).cast("string")
+    longest = F.expr("array_max(transform(regexp_extract_all(word, '([A-Za-z0-9+/_\\\\-]+)', 1), x -> struct(char_length(x) as n, x as x))).x")
+    found = _fixed(findings, meant=F.coalesce(given, longest))
+    runs = parts(found).withColumn("is_secret", F.when(F.startswith("value", F.col("meant")) & (F.col("meant") != ""), F.col("is_secret")).otherwise(0.0))
+    rows, names = features(runs)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "is_secret").coalesce(1)
     return RandomForestClassifier(featuresCol="features", labelCol="is_secret", numTrees=trees, maxDepth=depth, seed=7, subsamplingRate=0.8).fit(rows)
 
