@@ -6,8 +6,9 @@ path it lies in (key name, URL, file name) and its neighbouring words. It is fit
 (word, before, after, is_secret), by default a generated one of `FINDINGS` rows with keys of several makers
 beside hashes, ids, numbers, names and placeholders.
 
-Defined cases: null and empty texts have no candidate; a null doc_id is carried along; repeated rows are scanned
-each. Redaction replaces a secret wherever it stands in its document; rows that repeat a doc_id share findings.
+Defined cases: null and empty texts have no candidate; a null doc_id is scanned and redacted like any other; repeated
+rows are scanned each. A run without a digit is judged only after a telling key name or as password of a URL.
+Redaction replaces a secret wherever it stands in its row; rows of one doc_id with different texts don't share findings.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ FINDINGS = 6000
 MASK = "[SECRET]"
 
 # Words that tell of a secret, of something else, and words that names are made of.
-TELLING = "passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer"
+TELLING = "passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?!or(?!iz))|bearer"
 HARMLESS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|etag|revision|build|version|order|invoice|isbn|phone|tel|example|sample|dummy|placeholder|fixture"
 DICTIONARY = "about|access|account|admin|after|array|backup|block|build|cache|change|check|class|client|cloud|code|config|content|count|create|data|date|default|demo|detail|device|document|download|dummy|email|entry|error|event|example|export|field|file|final|first|folder|format|frame|from|function|group|home|image|import|index|input|item|label|license|line|list|local|login|mail|main|manager|message|model|module|name|network|number|object|option|order|output|page|param|part|password|path|picture|place|print|product|project|public|query|record|release|report|request|result|sample|schema|screen|script|search|secret|section|server|service|session|setting|source|stage|start|state|status|string|style|summary|system|table|target|template|test|text|this|thumb|time|title|token|total|track|type|update|upload|user|value|version|video|view|widget|window|with|work"
 
@@ -46,7 +47,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         f"""filter(transform(words, (x, i) -> struct(i as at, x as word,
               concat_ws(' ', try_element_at(words, greatest(i - 1, 1)), try_element_at(words, greatest(i, 1))) as before,
               coalesce(try_element_at(words, i + 2), '') as after)),
-            s -> char_length(s.word) >= 8 and s.word rlike '[0-9]' and (s.word rlike '[A-Za-z0-9+/_\\\\-]{{16,}}'
+            s -> char_length(s.word) >= 8 and (s.word rlike '[0-9=:]' or right(s.before, 1) in ('=', ':')) and (s.word rlike '[A-Za-z0-9+/_\\\\-]{{16,}}'
               or (s.word rlike '[A-Za-z0-9+/_\\\\-]{{8,}}' and (concat(s.before, ' ', s.word) rlike '(?i)({TELLING})' or s.word rlike ':[^/@]+@'))))"""
     )
     return docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.at", "s.word", "s.before", "s.after")
@@ -78,9 +79,11 @@ def parts(found: DataFrame) -> DataFrame:
 
 
 def _worth() -> Column:
-    """Whether a run is long enough to be judged: 16 characters, or 8 with a telling name."""
+    """Whether a run is to be judged: 16 characters, or 8 with a telling name; with a digit, unless a telling key
+    name is assigned to it or it is a URL's password."""
     telling = F.lower(F.concat_ws(" ", "before", "key")).rlike(TELLING)
-    return F.col("value").rlike("[0-9]") & ((F.char_length("value") >= 16) | telling | F.col("userinfo"))
+    named = telling & ((F.col("key") != "") | F.trim("before").rlike("[=:]$"))
+    return F.col("userinfo") | named | (F.col("value").rlike("[0-9]") & ((F.char_length("value") >= 16) | telling))
 
 
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -137,12 +140,22 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     # Several runs in a word: word, before, after and the run that is the secret.
     jwt = f"concat('eyJ', left({plain}, 17), '.eyJ', left(hex, 30), '.', left(b64, 20), right({plain}, 12))"
     aws, ghp, short = f"concat('AKIA', upper(left({plain}, 16)))", f"concat('ghp_', left({plain}, 36))", f"left({plain}, 18)"
+    letters = "regexp_replace(b64, '[^A-Za-z]', '')"
+    phrase = "concat_ws('', transform(array(0, 7, 13, 29), x -> initcap(element_at(names, cast(pmod(id * 31 + x * 17 + r * x, size(names)) as int) + 1))))"
+    i = i.withColumn("names", F.split(F.lit(DICTIONARY), r"\|"))
     many = [
+        (f"concat('password=', {phrase})", prose, prose, phrase), (phrase, "'password ='", prose, phrase), (f"concat('{{\"secret\":\"', {phrase}, '\"}}')", prose, prose, phrase),
+        (f"concat('token=', left({letters}, 24))", prose, prose, f"left({letters}, 24)"), (f"left({letters}, 20)", "'api_key:'", prose, f"left({letters}, 20)"),
         (f"concat('{{\"a\":\"', {ghp}, '\",\"region\":\"eu-central-', left({number}, 1), '\"}}')", "''", "''", ghp), (f"concat('{{\"aws\":\"', {aws}, '\",\"zone\":\"us-east-1-zone-', left({number}, 1), '\",\"count\":', left({number}, 9), '}}')", prose, "''", aws),
         (f"concat('https://user:', {short}, '@db.internal:', left({number}, 4), '/path-name')", prose, prose, short), (f"concat('postgres://admin', left({number}, 2), ':', {short}, '@host-', left({number}, 2), '.example.org/data_', left({number}, 4))", prose, prose, short),
         (f"concat('password=', left(hex, 18), ',host=db-server-', left({number}, 2))", prose, prose, "left(hex, 18)"), (f"concat('user=service-account-', left({number}, 2), ';pwd=', {short})", prose, prose, short),
         (f"concat('mode=read-write-', left({number}, 2), '&token=', left(hex, 32), '&page=', left({number}, 9))", prose, prose, "left(hex, 32)"), (jwt, prose, prose, jwt), (f"concat('token=', {jwt})", prose, prose, jwt),
     ]
+    name = lambda x: f"element_at(names, cast(pmod(id * 13 + {x} * 17, size(names)) as int) + 1)"
+    others += [
+        (f"concat('password_', {name(1)}, '=', {name(2)}, '_', {name(3)}, '_', {name(4)})", prose, prose), (f"concat({name(1)}, '-', {name(2)}, '-', {name(3)})", "'token:'", prose),
+        (f"concat(initcap({name(1)}), 'ing', {name(2)}, 's')", "'access_token ='", prose), (f"concat('auth=', {name(1)}, '.', {name(2)}, {name(3)}, '.', {name(4)})", prose, prose),
+    ]
     kinds = [(*x, "cast(null as string)", 1.0) for x in secrets] + [(*x, 1.0) for x in many] + [(*x, "''", 0.0) for x in others]
     chosen = None
     for k, (word, before, after, secret, label) in enumerate(kinds):
@@ -177,10 +190,12 @@ def scan_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """docs with MASK in place of every secret; every row stays."""
-    found = judged(docs.select("doc_id", "text"), model).where("is_secret and doc_id is not null")
+    # A row's own key: 128 bits of doc_id and text, so that null ids have one and rows of one doc_id don't mix.
+    own = F.struct(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("h1"), F.xxhash64("text", "doc_id", F.lit("row")).alias("h2"))
+    found = judged(docs.select(own.alias("doc_id"), "text"), model).where("is_secret").withColumnRenamed("doc_id", "own")
     # Longest first, so that no secret is cut by another that it holds.
-    by_doc = found.groupBy("doc_id").agg(F.collect_set("value").alias("values")).withColumn("values", F.expr("array_sort(values, (a, b) -> case when char_length(a) <> char_length(b) then char_length(b) - char_length(a) when a < b then -1 when a > b then 1 else 0 end)"))
-    both = boxed(docs, "doc_id").join(by_doc.hint("shuffle_hash"), "doc_id", "left")
+    by_row = found.groupBy("own").agg(F.collect_set("value").alias("values")).withColumn("values", F.expr("array_sort(values, (a, b) -> case when char_length(a) <> char_length(b) then char_length(b) - char_length(a) when a < b then -1 when a > b then 1 else 0 end)"))
+    both = boxed(docs, "doc_id", "text").select("row", own.alias("own")).join(by_row.hint("shuffle_hash"), "own", "left")
     text = F.when(F.col("values").isNull(), F.col("row.text")).otherwise(F.expr(f"aggregate(values, row.text, (t, v) -> replace(t, v, '{MASK}'))"))
     changes = {"text": text} | ({"n_chars": F.when(F.col("values").isNull(), F.col("row.n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {})
     return unboxed(both, docs.columns, **changes)

@@ -24,3 +24,13 @@ def test_every_run(spark, model):
     got = {r.doc_id: r.text for r in secret_scan.redact(docs, model).collect()}
     wrong = [(i, got[i]) for i, (_, gone, left) in enumerate(rows) if any(x in got[i] for x in gone) or not all(x in got[i] for x in left)]
     assert not wrong
+
+
+def test_letters_and_null_ids(spark, model):
+    texts = ["password=CorrectHorseBatteryStaple", "token=qWzXvBnMlKjHgFdSaPoIuY", "the password = CorrectHorseBatteryStaple now", "author:MontgomeryWilliamson", "password management", f"key {AWS} is"]
+    rows = [*enumerate(texts), (None, texts[0]), (None, texts[5]), (3, texts[5]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = secret_scan.redact(docs, model).collect()
+    m = secret_scan.MASK
+    want = [(0, f"password={m}"), (1, f"token={m}"), (2, f"the password = {m} now"), (3, texts[3]), (4, texts[4]), (5, f"key {m} is"), (None, f"password={m}"), (None, f"key {m} is"), (3, f"key {m} is"), (None, None)]
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
