@@ -6,7 +6,8 @@ Gumbel noise, drawn from a hash of seed and doc_id, the k largest sums are a sam
 proportion to the weights. The k-th largest is found by counting digits of the keys, not by sorting.
 
 The target model is fitted on at most about `sample_docs` labelled documents; the raw model counts all text, and
-every document is scored on its whole text. k is `share` of all rows, by default the share of good labels.
+every document is scored on its whole text. k is `share` of all rows, by default the share of labelled
+documents that are good, that is of quality and not toxic.
 
 Defined cases: null and empty texts have weight 0; a null doc_id is scored and hashes like 0; equal keys are
 ordered by doc_id, rows that repeat both stay or go together; without labels the target is the raw text and every row is kept.
@@ -25,6 +26,7 @@ from .common import Words, slices, text_bytes, written
 
 BUCKETS = 1 << 13
 SAMPLE_DOCS = 20_000
+GOOD = "(quality = 1 and coalesce(toxic, 0) = 0)"
 UNIT = 1_000_000  # of a key, for exact comparison
 
 
@@ -38,7 +40,7 @@ def features(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """log p_target - log p_raw by bucket."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    good = labels.where(f"{GOOD} and doc_id is not null").select("doc_id").distinct()
     share = min(1.0, sample_docs / max(1, good.count()))
     # A bounded sample of ids, so the broadcast is bounded too: some 16 bytes each.
     ids = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(UNIT)) < int(share * UNIT)).withColumn("target", F.lit(True))
@@ -95,7 +97,8 @@ def kth_largest(df: DataFrame, column: str, k: int, bits: int = 16) -> tuple[int
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11, temperature: float = 1.0) -> DataFrame:
     """doc_id, log_weight, gumbel_key, kept for every row of docs."""
     if share is None:
-        share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+        by_doc = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.expr(GOOD).cast("double")).alias("good"))
+        share = by_doc.agg(F.avg("good")).first()[0]
         share = 1.0 if share is None else share
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0).cast("long"))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     scored = weights(docs, model(docs, labels)).withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
