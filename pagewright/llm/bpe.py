@@ -3,11 +3,16 @@
 Each short word is a row of a contiguous array of part ids beside an array of the ranks of adjacent parts. All
 words of one length go together: find the least rank of each row, delete that boundary, refresh the ranks of
 its two neighbours, until a row has no rank left. Words over LONG bytes go through a heap over a linked list,
-which gives the same parts in n log n. Whole units between spaces are cached per Python worker, in a bounded
-two-generation cache, so that the arrays only see units that are new.
+which gives the same parts in n log n.
+
+A text is cut into units before every run of white space that follows something else, which no word of either kind of
+file crosses. Arrow finds a slice's distinct units; only those that a Python worker hasn't met are normalised and
+split into words (by the file's own rules, in the library) and merged, and a bounded store of their ids is
+gathered into the texts' ids.
 
 Defined cases: a null text is empty and gives no ids; the strings of special tokens in a text become those
-tokens, as the tokenizers library does by default; lengths are unlimited.
+tokens, as the tokenizers library does by default; lengths are unlimited. Repeated rows are encoded each, and a null
+doc_id is carried along. Files of another make than the two kinds below are refused.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,15 +28,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
-from .common import slices, text_bytes
+from .common import ranges, slices, text_bytes
 
 LONG = 64
 NONE = np.int32(2**31 - 1)
 
-#: How the two vocabularies' files split a text into words.
-SPLIT_BYTES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-SPLIT_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: Fixed value: how the byte-level kind splits a text into words, here of ASCII characters.
+ASCII_WORDS = rb"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\s A-Za-z0-9]+|\s+(?!\S)|\s+"
 
 
 def byte_symbols() -> list[str]:
@@ -138,32 +143,71 @@ def merge_long(ids: list[int], pairs: PairTable) -> list[int]:
     return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
 
+def _kind(spec: dict) -> str:
+    """"bytes" or "words"; another make of file would be encoded wrongly, so it is refused."""
+    model, names = spec["model"], lambda x, key: [y["type"] for y in (x.get(key) or [x])] if x else []
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    plain &= not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
+    made = names(spec["normalizer"], "normalizers"), names(spec["pre_tokenizer"], "pretokenizers")
+    level = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [spec["pre_tokenizer"] or {}])[-1]
+    if plain and not level.get("add_prefix_space", True):
+        if made == ([], ["ByteLevel"]) and level["use_regex"] and not model.get("end_of_word_suffix"):
+            return "bytes"
+        if made == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and not level["use_regex"] and model.get("end_of_word_suffix"):
+            return "words"
+    raise ValueError(f"no rules for a tokenizer with {made[0]} and {made[1]}")
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where units begin in joined texts: at each text that isn't empty, and at white space after something else.
+
+    White space of several bytes cuts nothing, and no cut follows what may be such."""
+    mark = np.zeros(len(data), bool)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    wide = np.flatnonzero(data[at - 1] >= 0x80)
+    if len(wide):
+        x = at[wide]
+        pair = lambda k: (data[np.maximum(x - k, 0)].astype(np.int32) << 8) | data[np.maximum(x - k + 1, 0)]
+        blank = np.isin(pair(2), [0xC285, 0xC2A0]) | np.isin(pair(3), [0xE19A, 0xE280, 0xE281, 0xE380])
+        at = np.delete(at, wide[blank])
+    mark[at] = True
+    mark[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(mark)
+
+
 class Codec:
     """A vocabulary file of the tokenizers library, of the byte-level kind or the word kind (lower case, word ends)."""
 
-    CACHED = 300_000
+    CACHED = 400_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, self.words = spec["model"], spec["model"].get("end_of_word_suffix") or ""
-        vocab = model["vocab"]
-        end = self.words
+        self.words = _kind(spec) == "words"
+        rules = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = rules.normalizer, rules.pre_tokenizer
+        model = spec["model"]
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.pairs = PairTable([(vocab[a], vocab[b]) for a, b in merges], [vocab[a + b] for a, b in merges])
         symbols = byte_symbols()
         self.first = np.array([vocab[s] for s in symbols], np.int32)
         self.last = np.array([vocab[s + end] for s in symbols], np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        own = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").encode() if self.words else ASCII_WORDS
+        self.ascii = re.compile(own).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
-        self.split = regex.compile(SPLIT_WORDS if end else SPLIT_BYTES).findall
         back = {s: b for b, s in enumerate(symbols)}
-        self.token_bytes = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        self.to_bytes = {ord(s): chr(b) for s, b in back.items()}
+        token_bytes = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in [*vocab.items(), *self.special.items()]:
             ended = bool(end) and token.endswith(end) and i not in self.special.values()
-            self.token_bytes[i] = bytes(back[c] for c in (token[: -len(end)] if ended else token)) + b" " * ended
-        self.young: dict = {}
-        self.old: dict = {}
+            token_bytes[i] = bytes(back[c] for c in (token[: -len(end)] if ended else token)) + b" " * ended
+        self.token_size = np.array([len(x) for x in token_bytes])
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_data = np.frombuffer(b"".join(token_bytes), np.uint8)
+        self._forget()
 
     # -- words
 
@@ -189,99 +233,80 @@ class Codec:
                     out[group[r]] = blob[k * step : (k + 1) * step]
         return out
 
-    def _pieces(self, unit: str) -> list[bytes]:
-        if self.words:
-            unit = unit if unit.isascii() else unicodedata.normalize("NFC", unit)
-            unit = unit.lower() if "\u03a3" not in unit else "".join([c.lower() for c in unit])
-        return [x.encode() for x in self.split(unit)]
-
-    def _learn(self, units: list[str]) -> dict:
-        """Ids of units that aren't cached."""
-        out, plan, flat, where = {}, [], [], {}
-        for u in units:
-            if "<|" in u and len(parts := self.cut.split(u)) > 1:
-                out[u] = b"".join(np.uint32(self.special[p]).tobytes() if p in self.special else self._one(p) for p in parts if p)
-                continue
-            pieces = self._pieces(u)
-            for p in pieces:
-                if p not in where:
-                    where[p] = len(flat)
-                    flat.append(p)
-            plan.append((u, pieces))
+    def _words(self, unit: str) -> list[bytes]:
+        if unit.isascii():  # the same rules, without a call for each unit
+            return self.ascii((unit.lower() if self.words else unit).encode())
+        if self.normalizer is not None:
+            unit = self.normalizer.normalize_str(unit)
+        return [w.translate(self.to_bytes).encode("latin-1") for w, _ in self.splitter.pre_tokenize_str(unit)]
+
+    def _ids_of(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units."""
+        plan: list[list] = []
+        flat: list[bytes] = []
+        where: dict[bytes, int] = {}
+        for unit in units:
+            text = unit.decode()
+            plan.append([])
+            for part in self.cut.split(text) if "<|" in text else (text,):
+                if part in self.special:
+                    plan[-1].append(np.uint32(self.special[part]).tobytes())
+                    continue
+                for w in self._words(part):
+                    if w not in where:
+                        where[w] = len(flat)
+                        flat.append(w)
+                    plan[-1].append(where[w])
         ids = self._merged(flat)
-        for u, pieces in plan:
-            out[u] = ids[where[pieces[0]]] if len(pieces) == 1 else b"".join([ids[where[p]] for p in pieces])
-        return out
+        return [b"".join([ids[x] if isinstance(x, int) else x for x in parts]) for parts in plan]
 
-    def _one(self, text: str) -> bytes:
-        return b"".join(self._merged(self._pieces(text)))
+    # -- the store of known units
 
-    def units(self, text: str) -> list[str]:
-        """Pieces of a text that can be encoded apart from each other."""
-        if self.words:
-            return self._word_units(text)
-        out = text.split(" ")
-        if "" in out or not all(out) or any(p[0].isspace() or p[-1].isspace() for p in out):
-            return self._joined(out)
-        return out
+    def _forget(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.start, self.size, self.store, self.held = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
-    @staticmethod
-    def _word_units(text: str) -> list[str]:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # Python splits there, the library doesn't
-            return [x.decode() for x in text.encode().split()]
-        return text.split()
-
-    @staticmethod
-    def _joined(pieces: list[str]) -> list[str]:
-        """Pieces between single spaces; white space beyond those stays inside a unit."""
-        out, held = [], pieces[0]
-        for p in pieces[1:]:
-            if held and p and not held[-1].isspace() and not p[0].isspace():
-                out.append(held)
-                held = p
-            else:
-                held += " " + p
-        return [*out, held]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        split = []
-        for t in texts:
-            special = not self.words and "<|" in t and self.cut.search(t)
-            split.append(None if special else self.units(t))
-        # In byte-level text all units but the first carry the space before them, which is part of their first word.
-        lead = "" if self.words else " "
-        young, old, wanted = self.young, self.old, set()
-        for units in split:
-            if units:
-                wanted.update(units if self.words else units[1:])
-        new = []
-        for u in wanted:
-            if u not in young:
-                if u in old:
-                    young[u] = old[u]
-                else:
-                    new.append(u)
+    def _slots(self, units: list[bytes]) -> np.ndarray:
+        if len(self.slot) > self.CACHED:
+            self._forget()
+        slot = self.slot
+        new = [u for u in units if u not in slot]
         if new:
-            young.update({u[len(lead) :]: ids for u, ids in self._learn([lead + u for u in new]).items()})
-        out = []
-        heads = self._learn(list({units[0] for units in split if units})) if not self.words else {}
-        for t, units in zip(texts, split, strict=True):
-            if units is None:
-                parts = [np.uint32(self.special[p]).tobytes() if p in self.special else self._one(p) for p in self.cut.split(t) if p]
-                out.append(b"".join(parts))
-            elif self.words:
-                out.append(b"".join([young[u] for u in units]))
-            else:
-                out.append(heads[units[0]] + b"".join([young[u] for u in units[1:]]))
-        if len(young) > self.CACHED:
-            self.old, self.young = young, {}
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids, special tokens too."""
-        table = self.token_bytes
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+            made = self._ids_of(new)
+            sizes, ids = np.array([len(x) // 4 for x in made]), np.frombuffer(b"".join(made), "<u4")
+            at, upto = len(slot), len(slot) + len(new)
+            while upto > len(self.start):
+                self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+            while self.held + len(ids) > len(self.store):
+                self.store = np.concatenate([self.store, self.store])
+            self.store[self.held : self.held + len(ids)] = ids
+            self.size[at:upto], self.start[at:upto] = sizes, self.held + np.cumsum(sizes) - sizes
+            self.held += len(ids)
+            slot.update(zip(new, range(at, upto), strict=True))
+        return np.array([slot[u] for u in units], np.int64)
+
+    # -- texts
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8), one after the other, and where each text's begin, with the end of the last."""
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
+        joined = b"".join(texts)
+        starts = unit_starts(np.frombuffer(joined, np.uint8), offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        edges = pa.py_buffer(np.append(starts, len(joined)).astype(np.int64))
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, edges, pa.py_buffer(joined)]).dictionary_encode()
+        slots = self._slots(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        size = self.size[slots]
+        ids = self.store[ranges(self.start[slots], size)]
+        return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, offsets)]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids that lie as encode gives them, special tokens too; of a word vocabulary, its words with a space after each."""
+        size = self.token_size[ids]
+        data = self.token_data[ranges(self.token_start[ids], size)].tobytes()
+        at = np.concatenate([[0], np.cumsum(size)])[offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(maxsize=4)
@@ -290,30 +315,36 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def mapped(docs: DataFrame, schema: str, rows: Callable[[Codec, list, list[str]], pa.RecordBatch], path: str) -> DataFrame:
+def texts_of_ids(ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers."""
+    blob, at = ids.astype("<u4").tobytes(), (4 * offsets).tolist()
+    return [blob[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def mapped(docs: DataFrame, schema: str, rows: Callable[[Codec, pa.Array, list[bytes]], pa.RecordBatch], path: str) -> DataFrame:
     """docs (doc_id, text) through a codec, slice by slice."""
 
     def run(batches):
         tool = codec(path)
         for batch in slices(batches):
-            texts = [x.decode() for x in text_bytes(batch.column("text"))]
-            yield rows(tool, batch.column("doc_id"), texts)
+            yield rows(tool, batch.column("doc_id"), text_bytes(batch.column("text")))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _digest(tool: Codec, doc_id, texts: list[str]) -> pa.RecordBatch:
-    ids = tool.encode(texts)
+def _digest(tool: Codec, doc_id: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+    ids, offsets = tool.encode(texts)
     sha = lambda x: hashlib.sha256(x).hexdigest()
+    decoded = [sha(x.encode()) for x in tool.decode(ids, offsets)]
     return pa.RecordBatch.from_arrays(
-        [doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(tool.decode(x).encode()) for x in ids])],
+        [doc_id, pa.array(np.diff(offsets)), pa.array([sha(x) for x in texts_of_ids(ids, offsets)], pa.string()), pa.array(decoded, pa.string())],
         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     )
 
 
-def _encoded(tool: Codec, doc_id, texts: list[str]) -> pa.RecordBatch:
-    ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in tool.encode(texts)]
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+def _encoded(tool: Codec, doc_id: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+    ids, offsets = tool.encode(texts)
+    return pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -327,7 +358,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         tool = codec(path)
         for batch in batches:
-            texts = [tool.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            rows = [np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
+            texts = tool.decode(np.concatenate([*rows, np.zeros(0, np.int64)]), offsets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

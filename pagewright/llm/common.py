@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,12 @@ HOT = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (local tests)."""
+    """The cluster's checkpoint folder. Where none is set, a temporary one if all runs in this process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir isn't set, and executors of {master} share no other folder")
         found = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -84,6 +88,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 .. for each size, one after the other."""
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(start - before, size)
+
+
 # Arithmetic modulo 2**64: a position-weighted sum can be taken from prefix sums as the weight is odd, hence invertible.
 WORD_STEP, GRAM_STEP = 0x9E3779B97F4A7C1B, 0xD1342543DE82EF93
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, slices, text_bytes
+from .common import Words, grams, ranges, slices, text_bytes
 
 WINDOW, ANCHOR = 13, 5
 BLOCK_BYTES = 3 << 20
@@ -238,12 +238,6 @@ def _content(code: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndarr
     return mix((total[start + words] - total[start]) * down[start])
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1 .. for each size, one after the other."""
-    before = np.cumsum(size) - size
-    return np.arange(size.sum()) - np.repeat(before, size) + np.repeat(start, size)
-
-
 def _binary(parts: list[np.ndarray]) -> bytes:
     return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
 
@@ -370,7 +364,7 @@ def _dedupe(docs: DataFrame, block_bytes: int, digest: bool) -> DataFrame:
         u, out = s.unique, []
         for p, i in _by_part(_part(s.anchor[u], parts), parts):
             m = u[i]
-            codes = block.code[_ranges(s.start[m], s.words[m])]
+            codes = block.code[ranges(s.start[m], s.words[m])]
             out.append((p, key[0].as_py(), np.uint32(len(m)).tobytes() + _binary([s.anchor[m], s.content[m], s.ids[m], s.words[m].astype(np.uint8), codes])))
         return send(out)
 
@@ -416,7 +410,7 @@ def _dedupe(docs: DataFrame, block_bytes: int, digest: bool) -> DataFrame:
             base = np.cumsum(size) - size
             flat = np.concatenate(firsts)
             each = np.repeat(np.arange(len(s.start)), s.windows)
-            turn = _ranges(np.zeros(len(s.start), np.int64), s.windows)
+            turn = ranges(np.zeros(len(s.start), np.int64), s.windows)
             of = s.which[each]
             first = flat[base[of] + np.where(size[of] > 1, turn, 0)]
             at = (s.start[each] + turn)[first < s.ids[each]]

@@ -9,13 +9,12 @@ import public_tokenizers
 import pytest
 import xxhash
 from conftest import SF
-from tokenizers import Tokenizer
 
-from pagewright.llm import bpe, components, language_id, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, topk_search
+from pagewright.llm import bpe, components, language_id, line_dedup, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, topk_search
 from pagewright.llm import common
 from pagewright.llm.common import spread_join, table
 
-BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, kept string, bits string"
 LINE = "This line is long enough to count as boilerplate everywhere."
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -109,17 +108,6 @@ def test_lines_and_pipeline_columns(odd):
     assert [i for i, t in kept.items() if t and LINE in t] == [13] and kept[0] is None and kept[7] == "other"
 
 
-def test_bpe_equals_library():
-    rnd = random.Random(5)
-    texts = ["", " ", "a  b", "ÀÉ é ́x ΑΣ. İI", "q" * 3000, "<|endoftext|>a <|endoftext|>", *["".join(rnd.choice(" \n\t'aAbsétE0<|>.,\x1c") for _ in range(rnd.randint(1, 50))) for _ in range(500)]]
-    for path in (BYTES, WORDS):
-        tok, own = Tokenizer.from_file(path), bpe.Codec(path)
-        for want, ids, t in zip(tok.encode_batch(texts, add_special_tokens=False), own.encode(texts), texts, strict=True):
-            assert want.ids == np.frombuffer(ids, "<u4").tolist(), t
-            if path == BYTES:
-                assert own.decode(ids) == t
-
-
 def test_bpe_round_trip(docs):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, BYTES), BYTES).collect()}
     assert back == {r.doc_id: r.text for r in docs.collect()}
@@ -245,34 +233,6 @@ def test_top_k_pruning_is_exact():
         assert [(-x, y) for x, y in zip(s[a == i].tolist(), b[a == i].tolist(), strict=True)] == want
 
 
-def test_packing(docs, odd, empty):
-    assert packing.packed_documents(empty, WORDS).count() == 0
-    tok = Tokenizer.from_file(WORDS)
-    for table_, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, [r[:2] for r in odd_rows()])):
-        got = packing.packed_documents(table_, WORDS, 2048).collect()
-        want = collections.Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
-        ends = collections.Counter((r.doc_id, r.start + r.length) for r in got)
-        assert all(ends[x] >= n for x, n in want.items())
-        assert sum(r.length for r in got) == sum(k[1] * n for k, n in want.items())
-        bins = collections.defaultdict(list)
-        for r in got:
-            bins[r.sequence_id].append((r.offset, r.length))
-        for b in bins.values():
-            b.sort()
-            assert all(o == sum(x for _, x in b[:i]) for i, (o, _) in enumerate(b)) and sum(x for _, x in b) <= 2048
-    assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 2
-
-
-def test_packing_tree(spark):
-    rnd = random.Random(6)
-    cut = spark.createDataFrame([(rnd.randint(1, 2048),) for _ in range(4000)], "length long")
-    got = packing.pack(cut, 2048, group=300).collect()
-    fill = collections.Counter()
-    for r in got:
-        fill[r.sequence_id] += r.length
-    assert max(fill.values()) <= 2048 and len(fill) <= 1.03 * sum(fill.values()) / 2048 + 1
-
-
 def test_resampling(spark, docs, odd, empty):
     labels = table(spark, SF, "labels")
     out = quality_classifier.resample(docs, labels, share=0.5).collect()
