@@ -1,8 +1,10 @@
 """Packing documents into sequences of a fixed number of tokens: hierarchical residual packing.
 
-Every group of items is packed by best fit, longest first. Bins that are full but for a small slack are done;
-the others go up a tree as items of their own, some groups to one, and are packed by best fit again, until one
-group remains or a round no longer joins anything. An item's place is the sum of the offsets on its way up.
+Every group of items is packed by best fit, longest first. Bins that are full but for a small slack are done. Of two
+bins of a group one is always over half full, as the later one's first item didn't fit the earlier; so what can still be
+joined is at most one bin a group, with another such bin or with a fuller one. These bins, and as many of the
+emptiest others, go up a tree as items of their own and are packed by best fit again, until one group remains. An
+item's place is the sum of the offsets on its way up.
 
 Defined cases: a null text is empty and is the one end token. Rows that repeat a doc_id are packed each. No
 piece is lost, cut pieces are exactly full but for the last, and lengths are unlimited.
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import codec, texts_of_ids
 from .common import slices, text_bytes, written
 
 #: Most items that one task packs.
@@ -33,9 +35,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, width = codec(path), 4 * capacity
         for batch in slices(batches):
-            texts = [x.decode() for x in text_bytes(batch.column("text"))]
             out: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tool.encode(texts), strict=True):
+            encoded = texts_of_ids(*tool.encode(text_bytes(batch.column("text"))))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids += tail
                 for n, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
@@ -91,16 +93,17 @@ def pack(cut: DataFrame, capacity: int = 2048, slack: int | None = None, group:
     slack = capacity // 256 if slack is None else slack
     cut = written(cut.withColumn("_pw_item", F.monotonically_increasing_id()), "pieces")
     rest = cut.where(F.col("length") < capacity).select(F.col("_pw_item").alias("item"), F.col("length").alias("size"))
-    levels, before = [], None
-    n = rest.count()
-    while n:
-        groups = -(-n // group)
-        level = written(_packed(rest, groups, capacity), "bins")
-        levels.append(level)
-        if groups == 1 or (before is not None and n > 0.9 * before):
+    levels, groups = [], -(-rest.count() // group)
+    while groups:
+        levels.append(written(_packed(rest, groups, capacity), "bins"))
+        if groups == 1:
             break
-        rest = level.where((F.col("shift") == 0) & (F.col("fill") < capacity - slack)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
-        n, before = rest.count(), n
+        bins = levels[-1].where((F.col("shift") == 0) & (F.col("fill") < capacity - slack)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
+        small = bins.where(F.col("size") <= capacity // 2)
+        n = small.count()  # at most one a group
+        # Any join of two bins needs a small one, and if a fuller one takes it, so would one of the n emptiest.
+        rest = small.unionByName(bins.where(F.col("size") > capacity // 2).orderBy("size", "item").limit(n))
+        groups = -(-2 * n // max(group, 4))
     out = cut.withColumns({"sequence_id": F.col("_pw_item"), "offset": F.lit(0).cast("long")})
     for level in levels:
         up = level.select(F.col("item").alias("sequence_id"), F.col("bin").alias("_pw_bin"), F.col("shift").alias("_pw_shift"))
