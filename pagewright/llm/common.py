@@ -42,6 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table made by `written` that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,6 +76,21 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int)
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
+def one_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """docs without all but one row of each group, the one of its smallest doc_id. Rows with a null doc_id stay.
+
+    grouped: doc_id, text_hash (xxhash64 of the text) and grp of every row with a doc_id; rows that are equal in the first two are of one group."""
+    row = ["doc_id", "text_hash"]
+    texts = grouped.groupBy(*row).agg(F.min("grp").alias("grp"), F.count("*").alias("n"))
+    kept = written(texts.groupBy("grp").agg(F.min(F.struct(*row, "n")).alias("kept")).select("kept.*"), "kept")
+    given = boxed(docs, "doc_id").withColumn("text_hash", F.xxhash64("row.text"))
+    found = given.join(kept.hint("shuffle_hash"), row, "left").where("doc_id is null or n is not null")
+    if kept.where("n > 1").isEmpty():
+        return unboxed(found, docs.columns)
+    single = found.where("doc_id is null or n = 1").select("row")
+    return unboxed(single.unionByName(found.where("n > 1").groupBy(*row).agg(F.first("row").alias("row")).select("row")), docs.columns)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,11 +1,15 @@
-"""Connected components of an edge table, distributed: alternating large-star and small-star steps."""
+"""Connected components of an edge table, distributed: alternating large-star and small-star steps.
+
+A node's least neighbour comes from a partial aggregation; the joins meet a hub's many edges with its one row, which the
+adaptive skew join splits. Each round's table replaces the one before, whose files are deleted.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -33,8 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = state(edges)
     while before["n"]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
         now = state(edges)
+        remove(last)
         if now == before:
             break
         before = now

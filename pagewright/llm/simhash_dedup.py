@@ -7,7 +7,8 @@ first; a mask's buckets give a spanning forest of their links, not all pairs. A
 of the bits that its mask leaves out, again so that every close pair shares a block.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other. Rows with a null doc_id have a
-fingerprint and no component. Repeated doc_ids are one node. Other columns are carried along by the pipeline form.
+fingerprint, no component, and link nothing. Rows of one doc_id are one document whatever their texts: all their
+fingerprints are of one component. `keep_one_each` goes by texts instead, so that no text is lost by a repeated doc_id.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, slices, spread_join, text_bytes, unboxed, written
+from .common import one_each, slices, spread_join, text_bytes, written
 from .components import components
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
@@ -47,14 +48,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, text_hash, fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(x) for x in text_bytes(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -138,16 +139,25 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def fingerprint_nodes(prints: DataFrame) -> DataFrame:
+    """fp, first (its smallest doc_id), n (its rows) of the rows with a doc_id."""
+    return prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links of fingerprints."""
+    """doc_id, text_hash, fp, component_id: the smallest doc_id reachable over links of fingerprints and over rows of one doc_id."""
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    joined = written(components(links(nodes.select("fp"), radius)), "components")
-    named = joined.join(nodes, joined["node"] == nodes["fp"]).select("fp", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    moved = named.join(least, "root").select("fp", "least")
-    groups = written(nodes.join(moved, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "groups")
-    return spread_join(prints, groups, ["fp"], prints.count()).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    rows, total = prints.where("doc_id is not null"), prints.count()
+    nodes = written(fingerprint_nodes(prints), "nodes")
+    first = lambda c: nodes.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    # A fingerprint's node is its smallest doc_id, so the least node reachable is the answer.
+    edges = links(nodes.select("fp"), radius).join(first("a"), "a").join(first("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    several = rows.groupBy("doc_id").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("n")).where("least <> most").select("doc_id", "n")
+    again = spread_join(rows, written(several, "several"), ["doc_id"], total).select("doc_id", "fp").distinct().join(nodes.select("fp", "first"), "fp")
+    joined = written(components(edges.union(again.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))), "components")
+    groups = nodes.join(joined, nodes["first"] == joined["node"], "left").select("fp", "n", F.coalesce("root", "first").alias("component_id"))
+    named = spread_join(rows, written(groups, "groups"), ["fp"], total).select(*prints.columns, "component_id")
+    return named.unionByName(prints.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
 
 
 def fingerprint_groups(docs: DataFrame) -> DataFrame:
@@ -156,8 +166,9 @@ def fingerprint_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id. Rows with a null doc_id stay; of rows
-    that repeat the kept doc_id all stay, as they are one document to this operator."""
-    lost = near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    both = boxed(docs, "doc_id")
-    return unboxed(both.join(lost, "doc_id", "left_anti"), docs.columns)
+    """One row of each group of texts that are near-duplicates, of its smallest doc_id. Rows with a null doc_id stay."""
+    prints = written(fingerprints(docs.where("doc_id is not null")), "fingerprints")
+    nodes = written(fingerprint_nodes(prints).select("fp", "n"), "nodes")
+    joined = written(components(links(nodes.select("fp"), radius)), "components")
+    groups = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("grp"))
+    return one_each(docs, spread_join(prints, written(groups, "groups"), ["fp"], prints.count()))
