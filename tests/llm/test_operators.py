@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from conftest import SF
 
-from pagewright.llm import bpe, components, language_id, line_dedup, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, topk_search
+from pagewright.llm import bpe, components, language_id, line_dedup, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup
 from pagewright.llm import common
 from pagewright.llm.common import spread_join, table
 
@@ -42,11 +42,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("name", ["substring", "topk", "lines"])
+@pytest.mark.parametrize("name", ["substring", "lines"])
 def test_sql(name, spark, compare):
     query, sql = {
         "substring": (lambda s, d: substring_dedup.removal_digest(table(s, d, "documents"), 100_000), substring_dedup.ORACLE),
-        "topk": (lambda s, d: topk_search.embedding_top_k(table(s, d, "embeddings")), topk_search.ORACLE),
         "lines": (lambda s, d: line_dedup.line_digest(table(s, d, "documents")), line_dedup.ORACLE),
     }[name]
     compare(query, sql)
@@ -216,23 +215,6 @@ def test_secrets(spark, odd, empty):
     assert test.count() >= 1900
 
 
-def test_top_k_odd(spark):
-    rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [9.0, 9.0]), (5, [2.0, 2.0])]
-    got = [tuple(r) for r in topk_search.embedding_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 5, 6 * 4096), (0, 2, 20, 5 * 4096), (20, 1, 5, 6 * 4096), (20, 2, 0, 5 * 4096)]
-    assert topk_search.embedding_top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
-
-
-def test_top_k_pruning_is_exact():
-    rnd = np.random.default_rng(4)
-    rows = np.sort(rnd.integers(-40, 40, (900, 8)), axis=0)
-    q, ids, own = rnd.integers(-40, 40, (7, 8)), np.arange(900), np.arange(7)
-    a, b, s = topk_search.search_chunk(own, q, ids, rows, 5, 32)
-    for i in range(7):
-        want = sorted((-int(q[i] @ rows[j]), j) for j in range(900) if j != i)[:5]
-        assert [(-x, y) for x, y in zip(s[a == i].tolist(), b[a == i].tolist(), strict=True)] == want
-
-
 def test_resampling(spark, docs, odd, empty):
     labels = table(spark, SF, "labels")
     out = quality_classifier.resample(docs, labels, share=0.5).collect()
