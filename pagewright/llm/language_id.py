@@ -3,32 +3,35 @@
 A known word has a log frequency per language. An unseen word is scored by its longest character n-grams that
 some language has seen, from N down to 1 at each place. A document's score is the sum over its words.
 
-The word table is fitted on a bounded sample of the labelled rows (`sample_docs`, chosen by a hash of doc_id)
-and keeps the most frequent `vocabulary` words of each language; of words as frequent as the last of them, a share
-chosen by a hash of the word. Every document is predicted from its whole text.
+Words are runs of letters (Unicode's L) in lower case, in learning as in prediction. The word table is fitted on a bounded
+sample of the labelled rows (`sample_docs`, chosen by a hash of doc_id), on all words of their whole texts; n-grams that
+fewer than `LEAST` words of it have are noise and are left out. Every document is predicted from its whole text: Arrow
+splits a slice's texts and finds its distinct words, each of which is scored once.
 
 Defined cases: null text and text without a letter give `und` with score 0, as does everything if no row is
-labelled; rows with a null lang are never learnt from; a null doc_id is never learnt from but is predicted.
+labelled; rows with a null lang are never learnt from; a null doc_id is never learnt from but is predicted; repeated rows
+are learnt from and predicted each.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, slices, text_bytes, unboxed, written
+from .common import boxed, slices, unboxed, written
 
 UNKNOWN = "und"
-WORDS = re.compile(r"[^\W\d_]+").findall
-LONGEST = 5
+#: What lies between words.
+BETWEEN = r"[^\p{L}]+"
+#: Longest n-gram, and the least words that an n-gram is learnt from.
+LONGEST, LEAST = 5, 3
+#: Unseen words that a worker remembers.
 CACHED = 250_000
 
 
@@ -36,52 +39,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def word_counts(docs: DataFrame, sample_docs: int, vocabulary: int) -> DataFrame:
+def word_counts(docs: DataFrame, sample_docs: int) -> DataFrame:
     """lang, word, n of the sampled labelled documents."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     n = docs.where("lang is not null and doc_id is not null").count()
-    share = min(1.0, sample_docs / max(1, n))
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = labelled.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> '' and char_length(word) <= 40")
-    counts = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
-    # Ranked by count and not by word: n words have under sqrt(2 n) different counts, and the sample bounds n.
-    room: dict[str, int] = {}
-    shares: dict[str, tuple[int, float]] = {}
-    for lang, n, size in sorted((tuple(r) for r in counts.groupBy("lang", "n").agg(F.count("*")).collect()), key=lambda r: -r[1]):
-        left = room.setdefault(lang, vocabulary)
-        if left > 0:
-            shares[lang] = n, min(1.0, left / size)
-            room[lang] = left - size
-    if not shares:
-        return counts
-    least = F.create_map(*[x for lang, (n, part) in shares.items() for x in (F.lit(lang), F.struct(F.lit(n).alias("n"), F.lit(int(part * 1_000_000)).alias("part")))])[F.col("lang")]
-    tied = (F.col("n") == least["n"]) & (F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < least["part"])
-    return counts.where((F.col("n") > least["n"]) | tied)
-
-
-@dataclass
+    if n > sample_docs:
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < (sample_docs << 62) // n)
+    words = labelled.select("lang", F.explode(F.split(F.lower("text"), BETWEEN)).alias("word")).where("word <> ''")
+    return written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
+
+
 class Model:
-    languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    cache: dict = field(default_factory=dict)
+    """Log frequencies by language: `rows[words[w]]` of a known word, `gram_rows[grams[g]]` of an n-gram."""
+
+    def __init__(self, languages: list[str], words: dict[str, int], rows: np.ndarray, grams: dict[str, int], gram_rows: np.ndarray):
+        self.languages, self.words, self.rows, self.grams, self.gram_rows = languages, words, rows, grams, gram_rows
+        self.unseen: dict[str, np.ndarray] = {}
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str, int]]) -> Model:
-        languages = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(languages)}
-        words: dict = defaultdict(lambda: np.zeros(len(at)))
-        grams: dict = defaultdict(lambda: np.zeros(len(at)))
-        for lang, word, n in rows:
-            words[word][at[lang]] += n
-        for word, n in words.items():
-            for gram in cls.pieces(word):
-                grams[gram] += n
-        rare = [g for g, n in grams.items() if n.sum() < 3]
-        for g in rare:
-            del grams[g]
-        return cls(languages, cls.logs(words), {g: v for size in range(1, LONGEST + 1) for g, v in cls.logs({g: n for g, n in grams.items() if len(g) == size}).items()})
+    def fit(cls, found: pa.Table) -> Model:
+        """found: lang, word, n."""
+        langs, names = found.column("lang").combine_chunks().dictionary_encode(), found.column("word").combine_chunks().dictionary_encode()
+        order = np.argsort(np.array(langs.dictionary.to_pylist(), object))
+        languages = [langs.dictionary[int(i)].as_py() for i in order]
+        words = {w: i for i, w in enumerate(names.dictionary.to_pylist())}
+        counts = np.zeros((len(words), len(languages)))
+        np.add.at(counts, (np.array(names.indices), np.argsort(order)[np.array(langs.indices)]), np.array(found.column("n")))
+        grams: dict[str, int] = {}
+        at, of = [], []
+        for word, i in words.items():
+            pieces = cls.pieces(word)
+            at += [grams.setdefault(g, len(grams)) for g in pieces]
+            of.append(len(pieces))
+        gram_counts = np.stack([np.bincount(at, np.repeat(counts[:, k], of), len(grams)) for k in range(len(languages))], axis=1) if languages else np.zeros((0, 0))
+        kept, rows = {}, [np.zeros((0, len(languages)), np.float32)]
+        for size in range(1, LONGEST + 1):
+            own = [g for g, i in grams.items() if len(g) == size and gram_counts[i].sum() >= LEAST]
+            if own:
+                kept |= {g: len(kept) + i for i, g in enumerate(own)}
+                rows.append(cls.logs(gram_counts[[grams[g] for g in own]]))
+        return cls(languages, words, cls.logs(counts), kept, np.concatenate(rows))
 
     @staticmethod
     def pieces(word: str) -> list[str]:
@@ -89,49 +86,50 @@ class Model:
         return [marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
 
     @staticmethod
-    def logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        total = sum(counts.values()) + 0.5 * len(counts)
-        return {k: np.log((n + 0.5) / total) for k, n in counts.items()}
+    def logs(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.5) / np.maximum(counts.sum(0) + 0.5 * len(counts), 0.5)).astype(np.float32)
 
     def backoff(self, word: str) -> np.ndarray:
-        """Mean over the word's places of the longest known n-gram there."""
+        """Sum over the word's places of the longest known n-gram there, over the root of their number."""
         marked, grams, found = f"<{word}>", self.grams, []
         i, n = 0, len(marked)
         while i < n:
             for size in range(min(LONGEST, n - i), 0, -1):
-                if (v := grams.get(marked[i : i + size])) is not None:
-                    found.append(v)
+                if (at := grams.get(marked[i : i + size])) is not None:
+                    found.append(at)
                     break
             else:
                 size = 1
             i += max(1, size - 1)
-        return sum(found) / math.sqrt(len(found)) if found else np.zeros(len(self.languages))
-
-    def predict(self, text: str) -> tuple[str, float]:
-        words = WORDS(text.lower())
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        cache = self.cache
-        if not cache:
-            cache.update({w: i for i, w in enumerate(self.words)})
-            self.rows = np.zeros((len(cache) + CACHED, len(self.languages)), np.float32)
-            self.rows[: len(cache)] = np.array(list(self.words.values())).reshape(len(cache), -1)
-        for w in {w for w in words if w not in cache}:
-            if len(cache) == len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows[:50_000])])
-            self.rows[len(cache)] = self.backoff(w)
-            cache[w] = len(cache)
-        scores = self.rows[[cache[w] for w in words]].sum(0, dtype=np.float64)
-        if len(cache) > len(self.words) + CACHED:
-            self.cache = {}
-        best = int(scores.argmax())
-        return self.languages[best], float(1 / np.exp(scores - scores[best]).sum())
-
-
-def train(docs: DataFrame, sample_docs: int = 12_000, vocabulary: int = 15_000) -> Model:
-    return Model.fit([tuple(r) for r in word_counts(docs, sample_docs, vocabulary).collect()])
+        return self.gram_rows[found].sum(0) / math.sqrt(len(found)) if found else np.zeros(len(self.languages), np.float32)
+
+    def score(self, word: str) -> np.ndarray:
+        if (i := self.words.get(word)) is not None:
+            return self.rows[i]
+        if (v := self.unseen.get(word)) is None:
+            if len(self.unseen) >= CACHED:
+                self.unseen = {}
+            v = self.unseen[word] = self.backoff(word)
+        return v
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())), BETWEEN)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if not self.languages or not len(distinct):
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        per_word = np.array([self.score(w) if w else np.zeros(len(self.languages), np.float32) for w in distinct])
+        at, doc = np.array(words.indices), np.repeat(np.arange(len(texts)), np.diff(np.array(lists.offsets)))
+        total = np.stack([np.bincount(doc, per_word[at, k], len(texts)) for k in range(len(self.languages))], axis=1)
+        real = np.bincount(doc, np.array([bool(w) for w in distinct])[at], len(texts)) > 0
+        best = total.argmax(1)
+        score = 1 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(1)
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), real.tolist(), strict=True)], np.where(real, score, 0.0)
+
+
+def train(docs: DataFrame, sample_docs: int = 6_000) -> Model:
+    return Model.fit(word_counts(docs, sample_docs).toArrow())
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -139,10 +137,9 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in slices(batches):
-            found = [m.predict(x.decode()) for x in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            langs, scores = sent.value.predict(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -160,10 +157,9 @@ def keep_languages(docs: DataFrame, min_score: float = 0.5, languages: list[str]
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in slices(batches):
-            found = [m.predict(x.decode()) for x in text_bytes(batch.column("text"))]
-            keep = [lang != UNKNOWN and score >= min_score and (languages is None or lang in languages) for lang, score in found]
+            found = zip(*sent.value.predict(batch.column("text")), strict=True)
+            keep = [lang != UNKNOWN and bool(score >= min_score) and (languages is None or lang in languages) for lang, score in found]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["row"])
 
     both = boxed(docs, "text")
