@@ -1,186 +1,226 @@
 """Secret scanning with a random forest that removes false positives, with DataFrame operations only.
 
-Candidates are all long runs of key-like characters of a word, and shorter ones after a telling key name or as
-password of a URL. The segments of a JWT are one run. The forest judges each on its length, the transitions between classes of characters, the share of it that dictionary words cover, the
-path it lies in (key name, URL, file name) and its neighbouring words. It is fitted on labelled findings: a table
-(word, before, after, is_secret), by default a generated one of `FINDINGS` rows with keys of several makers
+Candidates are all long runs of key-like characters of a word, whole values after a telling key name (from 6 characters, with
+other characters too), passwords of URLs, and the bodies of PEM private keys; the segments of a JWT are one run. The
+forest judges each on its length, the transitions between classes of characters, the share of it that dictionary words
+cover, the path it lies in (key name, URL, file name) and its neighbouring words. It is fitted on labelled findings: a
+table (word, before, after, is_secret), by default a generated one of `FINDINGS` rows with keys of several makers
 beside hashes, ids, numbers, names and placeholders.
 
+All happens inside a document's row: candidates, features and the forest, whose nodes are arrays that a fold walks, are
+higher-order functions, so nothing is shuffled and a finding needs no key to find its row again.
+
 Defined cases: null and empty texts have no candidate; a null doc_id is scanned and redacted like any other; repeated
-rows are scanned each. A run without a digit is judged only after a telling key name or as password of a URL.
-Redaction replaces a secret wherever it stands in its row; rows of one doc_id with different texts don't share findings.
+rows are scanned each. A run without a digit is judged only after a telling key name, as password of a URL, or if it
+has 32 letters of both cases. Redaction replaces a secret wherever it stands in its row.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import boxed, unboxed
 
 #: Rows of generated labelled findings.
-FINDINGS = 6000
+FINDINGS = 8000
 MASK = "[SECRET]"
 
 # Words that tell of a secret, of something else, and words that names are made of.
 TELLING = "passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?!or(?!iz))|bearer"
 HARMLESS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|etag|revision|build|version|order|invoice|isbn|phone|tel|example|sample|dummy|placeholder|fixture"
 DICTIONARY = "about|access|account|admin|after|array|backup|block|build|cache|change|check|class|client|cloud|code|config|content|count|create|data|date|default|demo|detail|device|document|download|dummy|email|entry|error|event|example|export|field|file|final|first|folder|format|frame|from|function|group|home|image|import|index|input|item|label|license|line|list|local|login|mail|main|manager|message|model|module|name|network|number|object|option|order|output|page|param|part|password|path|picture|place|print|product|project|public|query|record|release|report|request|result|sample|schema|screen|script|search|secret|section|server|service|session|setting|source|stage|start|state|status|string|style|summary|system|table|target|template|test|text|this|thumb|time|title|token|total|track|type|update|upload|user|value|version|video|view|widget|window|with|work"
-
-#: A run of key-like characters; of a JWT all segments.
-RUN = r"eyJ[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+|[A-Za-z0-9+/_\-]+"
-
-
-def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once: a generator keeps the optimizer from copying them into each use."""
-    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("made")
-    return df.select("*", made).select(*df.columns, "made.*")
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, at (word number from 0), word, before (two words), after (a word) of every candidate."""
-    words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1)
-    found = F.expr(
-        f"""filter(transform(words, (x, i) -> struct(i as at, x as word,
-              concat_ws(' ', try_element_at(words, greatest(i - 1, 1)), try_element_at(words, greatest(i, 1))) as before,
-              coalesce(try_element_at(words, i + 2), '') as after)),
-            s -> char_length(s.word) >= 8 and (s.word rlike '[0-9=:]' or right(s.before, 1) in ('=', ':')) and (s.word rlike '[A-Za-z0-9+/_\\\\-]{{16,}}'
-              or (s.word rlike '[A-Za-z0-9+/_\\\\-]{{8,}}' and (concat(s.before, ' ', s.word) rlike '(?i)({TELLING})' or s.word rlike ':[^/@]+@'))))"""
-    )
-    return docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.at", "s.word", "s.before", "s.after")
-
-
-def parts(found: DataFrame) -> DataFrame:
-    """A row for each run of the word that may be a key: its value with padding, the key name that it is assigned
-    to, the words or runs around it, and `piece`, what lies between the word's separators around it."""
-    gap, last = r"[^A-Za-z0-9+/_\-]*", r"[^A-Za-z0-9+/_\-]*$"
-    runs = _fixed(
-        found, runs=F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)), gaps=F.regexp_extract_all("word", F.lit(f"({gap})(?:{RUN})"), F.lit(1)),
-        tail=F.regexp_extract("word", last, 0))
-    # get() counts from 0 and is null outside.
-    one = """transform(runs, (x, i) -> struct(x as run, gaps[i] as gap, coalesce(get(gaps, i + 1), tail) as next_gap,
-        concat(coalesce(get(gaps, i - 2), ''), coalesce(get(runs, i - 2), ''), coalesce(get(gaps, i - 1), ''), coalesce(get(runs, i - 1), '')) as ahead,
-        coalesce(get(runs, i + 1), '') as behind, i as place, i = size(runs) - 1 as is_last))"""
-    r = runs.withColumn("r", F.explode(F.expr(f"filter({one}, r -> char_length(r.run) >= 8)")))
-    padding = F.regexp_extract("r.next_gap", r"^(={1,2})(?:[^=]|$)", 1)
-    padding = F.when((padding == F.col("r.next_gap")) & ~F.col("r.is_last"), "").otherwise(padding)
-    assigned = F.col("r.gap").rlike(r"[=:][\"'\[(\\]*$") & (F.col("r.place") > 0)
-    kept = [c for c in found.columns if c not in ("before", "after")]
-    return _fixed(
-        r, value=F.concat("r.run", padding), key=F.when(assigned, F.regexp_extract("r.ahead", r"([^,;{}&?]*)$", 1)).otherwise(""),
-        own_before=F.when(F.col("r.place") < 2, F.col("before")).otherwise(F.regexp_extract("r.ahead", r"^(.*)[,;{}&?]", 1)),
-        own_after=F.when(F.col("r.is_last"), F.col("after")).otherwise(F.col("r.behind")),
-        piece=F.concat(F.regexp_extract(F.concat("r.ahead", "r.gap"), r"([^,;{}&?\"']*)$", 1), "r.run", F.regexp_extract("r.next_gap", r"^([^,;{}&?\"']*)", 1), F.when(F.col("r.next_gap").rlike(r"[,;{}&?\"']"), "").otherwise(F.col("r.behind"))),
-        userinfo=F.col("r.gap").rlike(":$") & F.col("r.next_gap").rlike("^@"),
-    ).select(*kept, F.col("own_before").alias("before"), F.col("own_after").alias("after"), "value", "key", "piece", "userinfo").where(_worth())
-
-
-def _worth() -> Column:
-    """Whether a run is to be judged: 16 characters, or 8 with a telling name; with a digit, unless a telling key
-    name is assigned to it or it is a URL's password."""
-    telling = F.lower(F.concat_ws(" ", "before", "key")).rlike(TELLING)
-    named = telling & ((F.col("key") != "") | F.trim("before").rlike("[=:]$"))
-    return F.col("userinfo") | named | (F.col("value").rlike("[0-9]") & ((F.char_length("value") >= 16) | telling))
-
-
-def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
-    v, n = F.col("value"), F.greatest(F.char_length("value"), F.lit(1)).cast("double")
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "_")
-    share = lambda pattern: (n - F.char_length(F.regexp_replace(v, pattern, ""))) / n
-    flag = lambda c: c.cast("double")
-    near = F.lower(F.concat_ws(" ", "before", "key"))
-    columns: dict[str, Column] = {
-        "length": n,
-        "transitions": (F.char_length(F.regexp_replace(shape, r"(.)\1+", "$1")) - 1) / n,
-        "digits": share("[0-9]"),
-        "uppers": share("[A-Z]"),
-        "lowers": share("[a-z]"),
-        "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
-        "longest_letters": F.array_max(F.transform(F.split(v, "[^A-Za-z]+"), F.char_length)) / n,
-        "hexadecimal": flag(F.lower(v).rlike("^[0-9a-f]+$")),
-        "dictionary": (n - F.char_length(F.regexp_replace(F.lower(v), DICTIONARY, ""))) / n,
-        "known_prefix": flag(v.rlike("^(AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|npm_|eyJ)")),
-        "telling": flag(near.rlike(TELLING)),
-        "assigned": flag((F.col("key") != "") | F.trim(F.col("before")).rlike("[=:]$")),
-        "path": flag(F.col("piece").rlike(r"://|@|/[\w.-]+/|\.[a-z]{2,5}\b")),
-        "userinfo": flag(F.col("userinfo")),
-        "harmless_before": flag(near.rlike(HARMLESS)),
-        "harmless_after": flag(F.lower("after").rlike(HARMLESS)),
-        "placeholder": flag(F.lower(v).rlike(r"example|xxxx|your|changeme|placeholder|dummy|12345678|(.)\1{5,}")),
-    }
-    return _fixed(found, **{f"f_{k}": x.cast("double") for k, x in columns.items()}), [f"f_{k}" for k in columns]
+PLACEHOLDER = r"example|xxxx|your|changeme|placeholder|dummy|12345678|(.)\1{5,}"
+PREFIX = "^(AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|npm_|eyJ)"
+
+#: A run of key-like characters; of a JWT all segments; after a telling name and = or : the whole value.
+NAME = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)[A-Za-z_]{0,8}"
+IN_VALUE = r"\x20\x09-\x0D\x22\x27,;&<>()\[\]{}\\"
+RUN = rf"eyJ[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+|(?<={NAME}[\x22\x27\\]{{0,2}}[=:][\x22\x27\\]{{0,2}})[^{IN_VALUE}]{{5,}}[^.:{IN_VALUE}]|[A-Za-z0-9+/_\-]+"
+PEM = r"(?s)-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s*(.+?)\s*-----END"
+
+
+#: The words of a text that may hold a secret, of the array w of its words.
+WORDS = """transform(filter(sequence(1, size(w)), i -> char_length(w[i - 1]) >= 6 and (w[i - 1] rlike r'[0-9=:]|[A-Za-z+/]{32}' or (i > 1 and right(w[i - 2], 1) in ('=', ':')))),
+    i -> struct(i - 1 as at, w[i - 1] as word, concat_ws(' ', get(w, i - 3), get(w, i - 2)) as before, coalesce(get(w, i), '') as after))"""
+#: Steps over an array of candidates: each is a `transform`, so that nothing is computed twice, wherever the optimizer puts the whole.
+#: What a word is assigned to goes before it: `key = value` is `key=value`.
+JOINED = r"""transform(COLUMN, s -> if(s.before rlike r'[=:]$', struct(s.at, concat(replace(s.before, ' ', ''), s.word) as word, '' as before, s.after), s))"""
+RUNS = rf"""transform(COLUMN, s -> struct(s.at, s.before, s.after, regexp_extract_all(s.word, r'([^A-Za-z0-9+/_\-]*?)({RUN})', 1) as gaps,
+    regexp_extract_all(s.word, r'([^A-Za-z0-9+/_\-]*?)({RUN})', 2) as runs, regexp_extract(s.word, r'[^A-Za-z0-9+/_\-]*$', 0) as tail))"""
+EACH = """flatten(transform(COLUMN, s -> transform(filter(sequence(0, size(s.runs)), i -> char_length(get(s.runs, i)) >= 6), i -> struct(s.at, s.before, s.after,
+    s.runs[i] as run, s.gaps[i] as gap, coalesce(get(s.gaps, i + 1), s.tail) as next_gap, i as place, i = size(s.runs) - 1 as is_last,
+    concat(coalesce(get(s.gaps, i - 2), ''), coalesce(get(s.runs, i - 2), ''), coalesce(get(s.gaps, i - 1), ''), coalesce(get(s.runs, i - 1), '')) as ahead,
+    coalesce(get(s.runs, i + 1), '') as behind))))"""
+#: value with padding, the key name that it is assigned to, the words or runs around it, and `piece`, what lies between the word's separators around it.
+PLACED = r"""transform(COLUMN, s -> struct(s.at, concat(s.run, if(s.next_gap rlike r'^={1,2}$' and not s.is_last, '', regexp_extract(s.next_gap, r'^(={1,2})(?:[^=]|$)', 1))) as value,
+    if(s.gap rlike r'[=:][\x22\x27\[(\\]*$' and s.place > 0, regexp_extract(s.ahead, r'([^,;{}&?]*)$', 1), '') as key,
+    if(s.place < 2, s.before, regexp_extract(s.ahead, r'^(.*)[,;{}&?]', 1)) as before, if(s.is_last, s.after, s.behind) as after,
+    concat(regexp_extract(concat(s.ahead, s.gap), r'([^,;{}&?\x22\x27]*)$', 1), s.run, regexp_extract(s.next_gap, r'^([^,;{}&?\x22\x27]*)', 1), if(s.next_gap rlike r'[,;{}&?\x22\x27]', '', s.behind)) as piece,
+    s.gap rlike ':$' and s.next_gap rlike '^@' as userinfo))"""
+NEAR = r"""transform(COLUMN, s -> struct(s.at, s.value, s.key, s.after, s.piece, s.userinfo, lower(s.value) as low, lower(concat_ws(' ', s.before, s.key)) as near))"""
+WORTH = rf"""filter(COLUMN, s -> s.userinfo or (s.key <> '' and s.near rlike r'{TELLING}') or (s.value rlike '[0-9]' and (char_length(s.value) >= 16 or (char_length(s.value) >= 8 and s.near rlike r'{TELLING}')))
+    or (char_length(s.value) >= 32 and s.value rlike '[a-z]' and s.value rlike '[A-Z]'))"""
+#: The same for the bodies of private keys, whose word number is null.
+KEYS = rf"""transform(if(contains(COLUMN, 'PRIVATE KEY-----'), regexp_extract_all(COLUMN, r'{PEM}', 1), cast(array() as array<string>)),
+    x -> struct(cast(null as int) as at, x as value, 'privatekey' as key, '' as after, x as piece, false as userinfo, lower(x) as low, 'private_key' as near))"""
+SHAPED = r"""transform(COLUMN, s -> struct(s.*, cast(char_length(s.value) as double) as n,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(s.value, '[a-z]', 'a'), '[A-Z]', 'A'), '[0-9]', '0'), '[^aA0]', '_') as shape))""".replace("s.*", "s.at, s.value, s.key, s.after, s.piece, s.userinfo, s.low, s.near")
+
+_share = "(char_length(s.shape) - char_length(replace(s.shape, '{}', ''))) / s.n".format
+FEATURES = {
+    "length": "s.n",
+    "transitions": r"(char_length(regexp_replace(s.shape, r'(.)\1+', '$1')) - 1) / s.n",
+    "digits": _share("0"),
+    "uppers": _share("A"),
+    "lowers": _share("a"),
+    "others": _share("_"),
+    "distinct": "size(array_distinct(split(s.value, ''))) / s.n",
+    "longest_letters": "array_max(transform(split(s.value, '[^A-Za-z]+'), x -> char_length(x))) / s.n",
+    "hexadecimal": "cast(s.low rlike '^[0-9a-f]+$' as double)",
+    "dictionary": f"(s.n - char_length(regexp_replace(s.low, '{DICTIONARY}', ''))) / s.n",
+    "known_prefix": f"cast(s.value rlike '{PREFIX}' as double)",
+    "telling": f"cast(s.near rlike r'{TELLING}' as double)",
+    "assigned": "cast(s.key <> '' as double)",
+    "path": r"cast(s.piece rlike r'://|@|/[\w.-]+/|\.[a-z]{2,5}\b' as double)",
+    "userinfo": "cast(s.userinfo as double)",
+    "harmless_before": f"cast(s.near rlike '{HARMLESS}' as double)",
+    "harmless_after": f"cast(lower(s.after) rlike '{HARMLESS}' as double)",
+    "placeholder": rf"cast(s.low rlike r'{PLACEHOLDER}' as double)",
+}
+
+
+def _chain(found: str, *steps: str) -> str:
+    """The expression of an array with the steps applied to it, one after the other."""
+    for step in steps:
+        found = step.replace("COLUMN", found)
+    return found
+
+
+def _measured(found: str) -> str:
+    """An array of what NEAR gives as array<struct<at, value, f>>, f the features in order."""
+    f = ", ".join(f"cast({x} as double)" for x in FEATURES.values())
+    return f"transform({_chain(found, SHAPED)}, s -> struct(s.at, s.value, array({f}) as f))"
+
+
+def candidates(text: str) -> str:
+    """array<struct<at, value, f>> of a text's candidates: word number from 0, value, features. The text is read once, as t."""
+    words = rf"flatten(transform(array(split(t, r'[\x20\x09-\x0D]+', -1)), w -> {WORDS}))"
+    found = _chain(words, JOINED, RUNS, EACH, PLACED, NEAR, WORTH)
+    both = f"concat({found}, {KEYS.replace('COLUMN', 't')})"
+    return f"flatten(transform(array(coalesce({text}, '')), t -> {_measured(both)}))"
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """word, before, after, secret, is_secret: generated findings of many kinds. secret: the run of the word that
+    """kind, word, before, after, secret, is_secret: generated findings of many kinds. secret: the run of the word that
     is the secret; where null, its longest."""
-    i = _fixed(spark.range(n), hex=F.sha2(F.col("id").cast("string"), 256), b64=F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id")), 256))), r=F.xxhash64("id") % 7)
-    i = _fixed(i, plain=F.regexp_replace("b64", "[^A-Za-z0-9]", ""), number=F.regexp_replace("hex", "[^0-9]", ""))
-    plain, number = "plain", "number"
+    i = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("hex"), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), "id"), 256))).alias("b64"), (F.xxhash64("id") % 7).alias("r"))
+    i = i.select("*", F.regexp_replace("b64", "[^A-Za-z0-9]", "").alias("plain"), F.regexp_replace("hex", "[^0-9]", "").alias("number"), F.regexp_replace("b64", "[^A-Za-z]", "").alias("letters"), F.split(F.lit(DICTIONARY), r"\|").alias("names"))
     prose = "element_at(array('the quick', 'and then', 'of their', 'der neue', 'para el', 'une page', 'was found'), cast(pmod(r, 7) as int) + 1)"
+    name = lambda x: f"element_at(names, cast(pmod(id * 13 + {x} * 17, size(names)) as int) + 1)"
+    phrase = "concat_ws('', transform(array(0, 7, 13, 29), x -> initcap(element_at(names, cast(pmod(id * 31 + x * 17 + r * x, size(names)) as int) + 1))))"
+    jwt, aws, ghp, short = "concat('eyJ', left(plain, 17), '.eyJ', left(hex, 30), '.', left(b64, 20), right(plain, 12))", "concat('AKIA', upper(left(plain, 16)))", "concat('ghp_', left(plain, 36))", "left(plain, 18)"
+    human = f"concat(initcap({name(3)}), element_at(array('@', '#', '!', '$', '%', '-', ''), cast(pmod(r, 7) as int) + 1), left(number, 3), '!')"
+    longest = "cast(null as string)"
+    # kind, word, before, after, the run that is the secret
     secrets = [
-        (f"concat('AKIA', upper(left({plain}, 16)))", prose, "''"), ("concat('password=', left(hex, 18))", prose, prose),
-        ("concat('\"', left(hex, 40), '\"')", "'token ='", prose), (f"concat('ghp_', left({plain}, 36))", prose, prose),
-        (f"concat('api_key=', left({plain}, 32))", prose, prose), (f"concat('\"', left({plain}, 40), '\",')", "'secret_key:'", "''"),
-        ("concat('xoxb-', left(hex, 12), '-', right(hex, 24))", prose, prose), (f"concat('sk_live_', left({plain}, 24))", prose, prose),
-        (f"concat('pwd:', left({plain}, 14))", prose, prose), (f"concat('TOKEN=', upper(left(hex, 40)))", prose, prose),
+        ("aws id", aws, prose, "''", longest), ("password hex", "concat('password=', left(hex, 18))", prose, prose, longest), ("token quoted", "concat('\"', left(hex, 40), '\"')", "'token ='", prose, longest),
+        ("github", ghp, prose, prose, longest), ("api key", "concat('api_key=', left(plain, 32))", prose, prose, longest), ("secret key", "concat('\"', left(plain, 40), '\",')", "'secret_key:'", "''", longest),
+        ("slack", "concat('xoxb-', left(hex, 12), '-', right(hex, 24))", prose, prose, longest), ("stripe", "concat('sk_live_', left(plain, 24))", prose, prose, longest),
+        ("pwd", "concat('pwd:', left(plain, 14))", prose, prose, longest), ("token upper", "concat('TOKEN=', upper(left(hex, 40)))", prose, prose, longest),
+        ("bare mixed", "left(b64, 40)", prose, prose, "left(b64, 40)"), ("bare letters", "left(concat(letters, reverse(letters)), 40)", prose, prose, "left(concat(letters, reverse(letters)), 40)"),
+        ("phrase", f"concat('password=', {phrase})", prose, prose, phrase), ("phrase apart", phrase, "'password ='", prose, phrase), ("phrase json", f"concat('{{\"secret\":\"', {phrase}, '\"}}')", prose, prose, phrase),
+        ("phrase lower", f"concat('password=', lower({phrase}))", prose, prose, f"lower({phrase})"), ("token letters", "concat('token=', left(letters, 24))", prose, prose, "left(letters, 24)"), ("key letters", "left(letters, 20)", "'api_key:'", prose, "left(letters, 20)"),
+        ("json github", f"concat('{{\"a\":\"', {ghp}, '\",\"region\":\"eu-central-', left(number, 1), '\"}}')", "''", "''", ghp), ("json aws", f"concat('{{\"aws\":\"', {aws}, '\",\"zone\":\"us-east-1-zone-', left(number, 1), '\",\"count\":', left(number, 9), '}}')", prose, "''", aws),
+        ("url user", f"concat('https://user:', {short}, '@db.internal:', left(number, 4), '/path-name')", prose, prose, short), ("url short", f"concat('postgres://admin:', left(plain, 9), '@host-', left(number, 2), '.example.org/data_', left(number, 4))", prose, prose, "left(plain, 9)"),
+        ("settings", "concat('password=', left(hex, 18), ',host=db-server-', left(number, 2))", prose, prose, "left(hex, 18)"), ("settings pwd", f"concat('user=service-account-', left(number, 2), ';pwd=', {short})", prose, prose, short),
+        ("query", "concat('mode=read-write-', left(number, 2), '&token=', left(hex, 32), '&page=', left(number, 9))", prose, prose, "left(hex, 32)"), ("jwt", jwt, prose, prose, jwt), ("token jwt", f"concat('token=', {jwt})", prose, prose, jwt),
+        ("human", f"concat('password:', {human})", prose, prose, human), ("human apart", human, "'login pwd:'", prose, human), ("human short", "concat('pwd=', initcap(left(letters, 5)), left(number, 2))", prose, prose, "concat(initcap(left(letters, 5)), left(number, 2))"),
     ]
     others = [
-        ("left(hex, 40)", "'at commit'", prose), ("concat('sha256:', hex)", "'the digest'", prose),
-        ("concat_ws('-', left(hex, 8), substr(hex, 9, 4), substr(hex, 13, 4), substr(hex, 17, 4), right(hex, 12))", prose, prose),
-        (f"concat(left({number}, 16), '.')", prose, prose), ("concat('https://example.org/', left(hex, 16), '/index.html')", prose, prose), ("concat('https://db.example.org:8443/', left(hex, 20), '/page?id=', left(hex, 18))", prose, prose),
-        (f"concat('{{\"region\":\"eu-central-', left({number}, 1), '\",\"build\":\"', left(hex, 32), '\"}}')", prose, "''"), ("concat('host=db-server-', left(b64, 0), cast(id % 90 as string), ',commit=', left(hex, 40))", prose, prose),
-        (f"concat('user', left({number}, 3), '@mail', left({number}, 1), '.example.com')", prose, prose),
-        ("concat('document_version_', cast(id % 90 as string), '_final_report')", prose, prose), ("'api_key=YOUR_API_KEY_12345678'", prose, "'example'"),
-        (f"concat('thumbnail-image-', left({number}, 4), 'x', right({number}, 3))", prose, prose), (f"concat('token_count=', left({number}, 9), '00000000')", prose, prose),
-    ]
-    # Several runs in a word: word, before, after and the run that is the secret.
-    jwt = f"concat('eyJ', left({plain}, 17), '.eyJ', left(hex, 30), '.', left(b64, 20), right({plain}, 12))"
-    aws, ghp, short = f"concat('AKIA', upper(left({plain}, 16)))", f"concat('ghp_', left({plain}, 36))", f"left({plain}, 18)"
-    letters = "regexp_replace(b64, '[^A-Za-z]', '')"
-    phrase = "concat_ws('', transform(array(0, 7, 13, 29), x -> initcap(element_at(names, cast(pmod(id * 31 + x * 17 + r * x, size(names)) as int) + 1))))"
-    i = i.withColumn("names", F.split(F.lit(DICTIONARY), r"\|"))
-    many = [
-        (f"concat('password=', {phrase})", prose, prose, phrase), (phrase, "'password ='", prose, phrase), (f"concat('{{\"secret\":\"', {phrase}, '\"}}')", prose, prose, phrase),
-        (f"concat('token=', left({letters}, 24))", prose, prose, f"left({letters}, 24)"), (f"left({letters}, 20)", "'api_key:'", prose, f"left({letters}, 20)"),
-        (f"concat('{{\"a\":\"', {ghp}, '\",\"region\":\"eu-central-', left({number}, 1), '\"}}')", "''", "''", ghp), (f"concat('{{\"aws\":\"', {aws}, '\",\"zone\":\"us-east-1-zone-', left({number}, 1), '\",\"count\":', left({number}, 9), '}}')", prose, "''", aws),
-        (f"concat('https://user:', {short}, '@db.internal:', left({number}, 4), '/path-name')", prose, prose, short), (f"concat('postgres://admin', left({number}, 2), ':', {short}, '@host-', left({number}, 2), '.example.org/data_', left({number}, 4))", prose, prose, short),
-        (f"concat('password=', left(hex, 18), ',host=db-server-', left({number}, 2))", prose, prose, "left(hex, 18)"), (f"concat('user=service-account-', left({number}, 2), ';pwd=', {short})", prose, prose, short),
-        (f"concat('mode=read-write-', left({number}, 2), '&token=', left(hex, 32), '&page=', left({number}, 9))", prose, prose, "left(hex, 32)"), (jwt, prose, prose, jwt), (f"concat('token=', {jwt})", prose, prose, jwt),
-    ]
-    name = lambda x: f"element_at(names, cast(pmod(id * 13 + {x} * 17, size(names)) as int) + 1)"
-    others += [
-        (f"concat('password_', {name(1)}, '=', {name(2)}, '_', {name(3)}, '_', {name(4)})", prose, prose), (f"concat({name(1)}, '-', {name(2)}, '-', {name(3)})", "'token:'", prose),
-        (f"concat(initcap({name(1)}), 'ing', {name(2)}, 's')", "'access_token ='", prose), (f"concat('auth=', {name(1)}, '.', {name(2)}, {name(3)}, '.', {name(4)})", prose, prose),
+        ("commit", "left(hex, 40)", "'at commit'", prose), ("sha256", "concat('sha256:', hex)", "'the digest'", prose), ("etag", "concat('\"', left(hex, 32), '\"')", "'etag:'", prose),
+        ("uuid", "concat_ws('-', left(hex, 8), substr(hex, 9, 4), substr(hex, 13, 4), substr(hex, 17, 4), right(hex, 12))", prose, prose),
+        ("digits", "concat(left(number, 16), '.')", prose, prose), ("page", "concat('https://example.org/', left(hex, 16), '/index.html')", prose, prose), ("page port", "concat('https://db.example.org:8443/', left(hex, 20), '/page?id=', left(hex, 18))", prose, prose),
+        ("region", "concat('{\"region\":\"eu-central-', left(number, 1), '\",\"build\":\"', left(hex, 32), '\"}')", prose, "''"), ("host", "concat('host=db-server-', cast(id % 90 as string), ',commit=', left(hex, 40))", prose, prose),
+        ("mail", "concat('user', left(number, 3), '@mail', left(number, 1), '.example.com')", prose, prose),
+        ("file name", "concat('document_version_', cast(id % 90 as string), '_final_report')", prose, prose), ("placeholder", "element_at(array('api_key=YOUR_API_KEY_12345678', 'api_key=YOUR_KEY_HERE', 'token=your-token-goes-here', 'secret=ExampleSecretValue'), cast(pmod(id, 4) as int) + 1)", prose, "'example'"), ("placeholder short", "element_at(array('password=changeme', 'token=xxxxxxxx', 'secret=your_secret_here', 'pwd=example123'), cast(pmod(id, 4) as int) + 1)", prose, prose),
+        ("thumbnail", "concat('thumbnail-image-', left(number, 4), 'x', right(number, 3))", prose, prose), ("count", "concat('token_count=', left(number, 9), '00000000')", prose, prose),
+        ("password name", f"concat('password_', {name(1)}, '=', {name(2)}, '_', {name(3)}, '_', {name(4)})", prose, prose), ("token name", f"concat({name(1)}, '-', {name(2)}, '-', {name(3)})", "'token:'", prose),
+        ("class name", f"concat(initcap({name(1)}), 'ing', {name(2)}, 's')", "'access_token ='", prose), ("auth call", f"concat('auth=', {name(1)}, '.', {name(2)}, {name(3)}, '.', {name(4)})", prose, prose),
+        ("camel", f"concat(lower({name(1)}), initcap({name(2)}), initcap({name(3)}), initcap({name(4)}), initcap({name(5)}), initcap({name(6)}), 'Of', initcap({name(7)}))", prose, prose), ("secret word", f"{name(4)}", "'the secret:'", prose),
     ]
-    kinds = [(*x, "cast(null as string)", 1.0) for x in secrets] + [(*x, 1.0) for x in many] + [(*x, "''", 0.0) for x in others]
+    kinds = [(*x, 1.0) for x in secrets] + [(*x, "''", 0.0) for x in others]
     chosen = None
-    for k, (word, before, after, secret, label) in enumerate(kinds):
-        row = F.struct(F.expr(word).alias("word"), F.expr(before).alias("before"), F.expr(after).alias("after"), F.expr(secret).alias("secret"), F.lit(label).alias("is_secret"))
+    for k, (kind, word, before, after, secret, label) in enumerate(kinds):
+        row = F.struct(F.lit(kind).alias("kind"), F.expr(word).alias("word"), F.expr(before).alias("before"), F.expr(after).alias("after"), F.expr(secret).alias("secret"), F.lit(label).alias("is_secret"))
         chosen = F.when(F.col("id") % len(kinds) == k, row) if chosen is None else chosen.when(F.col("id") % len(kinds) == k, row)
-    return _fixed(i, s=chosen).select("s.*")
+    return i.select(chosen.alias("s")).select("s.*")
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
-    """findings: word, before, after, is_secret; and secret where a word has several runs, otherwise the longest is meant."""
+def labelled_rows(findings: DataFrame) -> DataFrame:
+    """value, f (the features) and is_secret of every run of the findings that is to be judged, beside their other columns."""
     given = F.col("secret") if "secret" in findings.columns else F.lit(None).cast("string")
-    longest = F.expr("array_max(transform(regexp_extract_all(word, '([A-Za-z0-9+/_\\\\-]+)', 1), x -> struct(char_length(x) as n, x as x))).x")
-    found = _fixed(findings, meant=F.coalesce(given, longest))
-    runs = parts(found).withColumn("is_secret", F.when(F.startswith("value", F.col("meant")) & (F.col("meant") != ""), F.col("is_secret")).otherwise(0.0))
-    rows, names = features(runs)
+    longest = F.expr(r"array_max(transform(regexp_extract_all(word, r'([A-Za-z0-9+/_\-]+)', 1), x -> struct(char_length(x) as n, x as x))).x")
+    one = "array(struct(cast(0 as int) as at, word, coalesce(before, '') as before, coalesce(after, '') as after))"
+    made = findings.select("*", F.coalesce(given, longest).alias("_pw_meant"), F.expr(_measured(_chain(one, JOINED, RUNS, EACH, PLACED, NEAR, WORTH))).alias("_pw_found"))
+    rest = [c for c in findings.columns if c not in ("is_secret", "secret")]
+    runs = made.select(*rest, "is_secret", "_pw_meant", F.explode("_pw_found").alias("s"))
+    meant = F.startswith("s.value", F.col("_pw_meant")) & (F.col("_pw_meant") != "")
+    return runs.select(*rest, "s.value", "s.f", F.when(meant, F.col("is_secret")).otherwise(0.0).alias("is_secret"))
+
+
+def train(findings: DataFrame, trees: int = 24, depth: int = 8) -> RandomForestClassificationModel:
+    """findings: word, before, after, is_secret; and secret where a word has several runs, otherwise the longest is meant."""
+    names = list(FEATURES)
+    rows = labelled_rows(findings).select("is_secret", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)])
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "is_secret").coalesce(1)
     return RandomForestClassifier(featuresCol="features", labelCol="is_secret", numTrees=trees, maxDepth=depth, seed=7, subsamplingRate=0.8).fit(rows)
 
 
+def _numbers(values: list, kind: str) -> str:
+    """An array that the optimizer makes a constant."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
+
+
+def probability(model: RandomForestClassificationModel, f: str) -> str:
+    """The forest as an expression of the feature array f: the mean over the trees of the share of secrets in the leaf."""
+    feature, threshold, left, right, value, roots, depth = [], [], [], [], [], [], 1
+
+    def add(node) -> int:
+        at = len(feature)
+        for column, x in ((feature, 0), (threshold, 0.0), (left, -1), (right, -1), (value, 0.0)):
+            column.append(x)
+        if node.numDescendants() == 0:
+            stats = list(node.impurityStats().stats())
+            value[at] = stats[1] / sum(stats)
+            return at
+        feature[at], threshold[at] = node.split().featureIndex(), node.split().threshold()
+        left[at] = add(node.leftChild())
+        right[at] = add(node.rightChild())
+        return at
+
+    for tree in model.trees:
+        roots.append(add(tree._java_obj.rootNode()))
+        depth = max(depth, tree.depth)
+    step = f"if(get({_numbers(left, 'int')}, a) < 0, a, if(get({f}, get({_numbers(feature, 'int')}, a)) <= get({_numbers(threshold, 'double')}, a), get({_numbers(left, 'int')}, a), get({_numbers(right, 'int')}, a)))"
+    leaf = f"aggregate({_numbers(list(range(depth)), 'int')}, r, (a, _) -> {step})"
+    return f"aggregate({_numbers(roots, 'int')}, cast(0 as double), (p, r) -> p + get({_numbers(value, 'double')}, {leaf})) / {len(roots)}"
+
+
+def findings(text: str, model: RandomForestClassificationModel, threshold: float = 0.5) -> Column:
+    """array<struct<at, value, probability, is_secret>> of the text's candidates, of the name of its column."""
+    scored = f"transform({candidates(text)}, s -> struct(s.at, s.value, {probability(model, 's.f')} as probability))"
+    return F.expr(f"transform({scored}, s -> struct(s.at, s.value, s.probability, s.probability >= {threshold} as is_secret))")
+
+
 def judged(docs: DataFrame, model: RandomForestClassificationModel | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, at, value, probability, is_secret of every candidate."""
+    """doc_id, at, value, probability, is_secret of every candidate; at is null for the body of a private key."""
     model = model or train(labelled_findings(docs.sparkSession))
-    rows, names = features(parts(candidates(docs)))
-    scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
-    return scored.select("doc_id", "at", "value", vector_to_array("probability")[1].alias("probability")).withColumn("is_secret", F.col("probability") >= threshold)
+    # An outer explode: of another the optimizer would put a filter, with a second copy of the whole, before it.
+    found = docs.select("doc_id", F.explode_outer(findings("text", model, threshold)).alias("s"))
+    return found.where("s.value is not null").select("doc_id", "s.at", "s.value", "s.probability", "s.is_secret")
 
 
 def scan_report(docs: DataFrame) -> DataFrame:
@@ -190,12 +230,12 @@ def scan_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """docs with MASK in place of every secret; every row stays."""
-    # A row's own key: 128 bits of doc_id and text, so that null ids have one and rows of one doc_id don't mix.
-    own = F.struct(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("h1"), F.xxhash64("text", "doc_id", F.lit("row")).alias("h2"))
-    found = judged(docs.select(own.alias("doc_id"), "text"), model).where("is_secret").withColumnRenamed("doc_id", "own")
+    found = boxed(docs).select("row", findings("row.text", model or train(labelled_findings(docs.sparkSession))).alias("found"))
     # Longest first, so that no secret is cut by another that it holds.
-    by_row = found.groupBy("own").agg(F.collect_set("value").alias("values")).withColumn("values", F.expr("array_sort(values, (a, b) -> case when char_length(a) <> char_length(b) then char_length(b) - char_length(a) when a < b then -1 when a > b then 1 else 0 end)"))
-    both = boxed(docs, "doc_id", "text").select("row", own.alias("own")).join(by_row.hint("shuffle_hash"), "own", "left")
-    text = F.when(F.col("values").isNull(), F.col("row.text")).otherwise(F.expr(f"aggregate(values, row.text, (t, v) -> replace(t, v, '{MASK}'))"))
-    changes = {"text": text} | ({"n_chars": F.when(F.col("values").isNull(), F.col("row.n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {})
-    return unboxed(both, docs.columns, **changes)
+    secrets = "array_distinct(transform(filter(found, s -> s.is_secret), s -> s.value))"
+    order = "(a, b) -> case when char_length(a) <> char_length(b) then char_length(b) - char_length(a) when a < b then -1 when a > b then 1 else 0 end"
+    masked = found.select("row", F.expr(f"aggregate(array_sort({secrets}, {order}), row.text, (t, v) -> replace(t, v, '{MASK}'))").alias("text"))
+    changes = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changes["n_chars"] = F.when(F.col("text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.char_length("text").cast("long"))
+    return unboxed(masked, docs.columns, **changes)
