@@ -16,6 +16,7 @@ are learnt from and predicted each.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,12 +67,14 @@ class Model:
         counts = np.zeros((len(words), len(languages)))
         np.add.at(counts, (np.array(names.indices), np.argsort(order)[np.array(langs.indices)]), np.array(found.column("n")))
         grams: dict[str, int] = {}
-        at, of = [], []
-        for word, i in words.items():
+        at, of = array("i"), array("i")  # plain numbers: the driver's memory is small
+        for word in words:
             pieces = cls.pieces(word)
-            at += [grams.setdefault(g, len(grams)) for g in pieces]
+            at.extend([grams.setdefault(g, len(grams)) for g in pieces])
             of.append(len(pieces))
+        at, of = np.frombuffer(at, np.int32) if at else np.zeros(0, np.int32), np.array(of, np.int32)
         gram_counts = np.stack([np.bincount(at, np.repeat(counts[:, k], of), len(grams)) for k in range(len(languages))], axis=1) if languages else np.zeros((0, 0))
+        del at
         kept, rows = {}, [np.zeros((0, len(languages)), np.float32)]
         for size in range(1, LONGEST + 1):
             own = [g for g, i in grams.items() if len(g) == size and gram_counts[i].sum() >= LEAST]
@@ -128,7 +131,7 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), real.tolist(), strict=True)], np.where(real, score, 0.0)
 
 
-def train(docs: DataFrame, sample_docs: int = 6_000) -> Model:
+def train(docs: DataFrame, sample_docs: int = 4_000) -> Model:
     return Model.fit(word_counts(docs, sample_docs).toArrow())
 
 
