@@ -193,7 +193,7 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, inner: bytes) -> np.ndarr
 class Codec:
     """A vocabulary file of the tokenizers library, of the byte-level kind or the word kind (lower case, word ends)."""
 
-    CACHED = 600_000
+    CACHED = 250_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

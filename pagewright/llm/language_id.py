@@ -33,7 +33,7 @@ BETWEEN = r"[^\p{L}]+"
 #: Longest n-gram, and the least words that an n-gram is learnt from.
 LONGEST, LEAST = 5, 3
 #: Unseen words that a worker remembers.
-CACHED = 250_000
+CACHED = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -160,10 +160,11 @@ def keep_languages(docs: DataFrame, min_score: float = 0.5, languages: list[str]
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        whole = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field("text")], names=["row", "text"]) for b in batches)
+        for batch in slices(whole):
             found = zip(*sent.value.predict(batch.column("text")), strict=True)
             keep = [lang != UNKNOWN and bool(score >= min_score) and (languages is None or lang in languages) for lang, score in found]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["row"])
 
-    both = boxed(docs, "text")
-    return unboxed(both.mapInArrow(run, both.select("row").schema), columns)
+    rows = boxed(docs)
+    return unboxed(rows.mapInArrow(run, rows.schema), columns)
