@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: The white space that separates words in every operator: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker turns into arrays at a time; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 4096
 #: A key with over one in so many rows is hot; there are fewer such keys than this, whatever the table's size.
 HOT = 2000
 
@@ -121,20 +121,19 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 WORD_STEP, GRAM_STEP = 0x9E3779B97F4A7C1B, 0xD1342543DE82EF93
 
 
-@lru_cache(maxsize=8)
-def _powers(step: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(step, -1, 1 << 64)
-    out = []
-    for x in (step, inverse):
-        p = np.full(size, x, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(step: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """step**i and step**-i for at least `size` positions."""
-    return _powers(step, 1 << max(16, int(size).bit_length()))
+    """step**i and step**-i for at least `size` positions. A worker holds one pair of arrays a step, as long as it has needed."""
+    if step not in _held or len(_held[step][0]) < size:
+        out = []
+        for x in (step, pow(step, -1, 1 << 64)):
+            p = np.full(1 << max(16, int(size - 1).bit_length()), x, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _held[step] = out[0], out[1]
+    return _held[step]
 
 
 @lru_cache(maxsize=1)
