@@ -131,7 +131,7 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), real.tolist(), strict=True)], np.where(real, score, 0.0)
 
 
-def train(docs: DataFrame, sample_docs: int = 4_000) -> Model:
+def train(docs: DataFrame, sample_docs: int = 2_500) -> Model:
     return Model.fit(word_counts(docs, sample_docs).toArrow())
 
 
