@@ -16,8 +16,10 @@ are learnt from and predicted each.
 from __future__ import annotations
 
 import math
+import pickle
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,17 +133,33 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), real.tolist(), strict=True)], np.where(real, score, 0.0)
 
 
-def train(docs: DataFrame, sample_docs: int = 2_500) -> Model:
-    return Model.fit(word_counts(docs, sample_docs).toArrow())
+def fitted(docs: DataFrame, sample_docs: int = 2_500) -> bytes:
+    """The pickled model. One task fits it, on the words of the bounded sample, so that the driver only passes it on."""
+    counts = word_counts(docs, sample_docs)
+    empty = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        model = Model.fit(pa.Table.from_batches(found, found[0].schema if found else empty))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = counts.coalesce(1).mapInArrow(run, "model binary").first()
+    return bytes(made[0]) if made else pickle.dumps(Model.fit(empty.empty_table()))
+
+
+@lru_cache(maxsize=1)
+def _loaded(model: bytes) -> Model:
+    """One a Python worker."""
+    return pickle.loads(model)
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
+def predicted(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            langs, scores = sent.value.predict(batch.column("text"))
+            langs, scores = _loaded(sent.value).predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -149,20 +167,20 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learnt from the rows that aren't held out."""
-    model = train(docs.where(~held_out(F.col("doc_id"))))
+    model = fitted(docs.where(~held_out(F.col("doc_id"))))
     return predicted(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_languages(docs: DataFrame, min_score: float = 0.5, languages: list[str] | None = None) -> DataFrame:
     """Rows of docs whose text is in a known language (one of `languages` if given) with at least that score."""
-    model = train(docs.where(~held_out(F.col("doc_id"))))
+    model = fitted(docs.where(~held_out(F.col("doc_id"))))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field("text")], names=["row", "text"]) for b in batches)
         for batch in slices(whole):
-            found = zip(*sent.value.predict(batch.column("text")), strict=True)
+            found = zip(*_loaded(sent.value).predict(batch.column("text")), strict=True)
             keep = [lang != UNKNOWN and bool(score >= min_score) and (languages is None or lang in languages) for lang, score in found]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["row"])
 
