@@ -34,9 +34,11 @@ def upsert(memory: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def once_each(df: DataFrame, text: str, out: str, work: Callable[[Column], Column]) -> DataFrame:
-    """work() on the distinct texts only, joined back to all rows."""
-    done = df.select(text).distinct().withColumn(out, work(F.col(text)))
-    return df.join(done, text)
+    """work() on the distinct texts only, joined back to all rows by the text's hash; a null text is a text of its own."""
+    key = F.sha2(F.concat(F.col(text).isNull().cast("string"), F.coalesce(F.col(text), F.lit(""))), 256)
+    keyed = df.withColumn("_pw_key", key)
+    done = keyed.select("_pw_key", text).distinct().select("_pw_key", work(F.col(text)).alias(out))
+    return keyed.join(done, "_pw_key").drop("_pw_key")
 
 
 def translate_many(texts: DataFrame, memory: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:

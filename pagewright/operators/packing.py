@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 
 
+def batch_enabled(provider: Column, mode: Column) -> Column:
+    """Whether segments go in batches: as the mode says, else (null, auto, anything) only with the one provider that keeps separators."""
+    word = F.lower(F.btrim(mode, F.lit(" \t\r\n")))
+    return F.when(word.isin("0", "false", "off", "no"), False).when(word.isin("1", "true", "on", "yes"), True).otherwise(provider == "libretranslate")
+
+
 def batches(segments: DataFrame, keys: list[str], order: list[str], text: str, limit: int = 1200) -> DataFrame:
     """keys, order and batch (from 0): a batch ends where the next text and a separator don't fit.
 

@@ -70,13 +70,13 @@ def page_features(spark, d):
     return S.load(spark, d, "pages").select("page_id", F.char_length(text).alias("n_chars"), (F.col("page_id") % 3 > 0).alias("has_images"))
 
 
-@query("page_type", f"select *, case when n_chars >= 1500 and has_images then 'hybrid' when n_chars >= 1500 then 'native' else 'scanned' end as page_type from ({PAGE_TYPE_SQL})")
-def page_type(spark, d, least=1500):
+@query("page_type", f"select *, case when n_chars >= 40 and has_images then 'hybrid' when n_chars >= 40 then 'native' else 'scanned' end as page_type from ({PAGE_TYPE_SQL})")
+def page_type(spark, d, least=40):
     native = F.col("n_chars") >= least
     return page_features(spark, d).withColumn("page_type", F.when(native & F.col("has_images"), "hybrid").when(native, "native").otherwise("scanned"))
 
 
-@query("ocr_route", f"select page_id, case when n_chars < 1500 then 'full_ocr' when has_images then 'masked_ocr' else 'native' end as route, case when n_chars >= 1500 and not has_images then 'ocr_skipped_no_images' end as warning from ({PAGE_TYPE_SQL})")
+@query("ocr_route", f"select page_id, case when n_chars < 40 then 'full_ocr' when has_images then 'masked_ocr' else 'native' end as route, case when n_chars >= 40 and not has_images then 'ocr_skipped_no_images' end as warning from ({PAGE_TYPE_SQL})")
 def _(spark, d):
     kind = F.col("page_type")
     return page_type(spark, d).select("page_id", F.when(kind == "scanned", "full_ocr").when(kind == "hybrid", "masked_ocr").otherwise("native").alias("route"), F.when(kind == "native", "ocr_skipped_no_images").alias("warning"))
@@ -336,13 +336,13 @@ RETRY_SQL = r"""(select conv_id, turn, text, length(t) between 12 and 800 and re
   and (regexp_matches(' ' || lower(t) || ' ', ' (the|and|of|to|for|with|in|on|from|by) ') or len(regexp_extract_all(t, '[A-Za-z]{2,}')) >= 3) as ok from (select *, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from conversations))"""
 
 
-@query("retry_candidates", f"select conv_id, turn from (select *, row_number() over (partition by conv_id order by turn) as r from {RETRY_SQL} where ok) where r <= 3")
-def retry_candidates(spark, d, most=3):
+@query("retry_candidates", f"select conv_id, turn from (select *, row_number() over (partition by conv_id order by turn) as r from {RETRY_SQL} where ok) where r <= 250")
+def retry_candidates(spark, d, most=250):
     c = S.load(spark, d, "conversations").where(T.should_retry(F.col("text")))
     return c.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).where(F.col("r") <= most).select("conv_id", "turn")
 
 
-@query("retry_merge", f"select conv_id, count(*) as blocks, count(*) filter (where r <= 3 and turn % 2 = 0) as newly_changed from (select *, case when ok then sum(cast(ok as int)) over (partition by conv_id order by turn) end as r from {RETRY_SQL}) group by conv_id")
+@query("retry_merge", f"select conv_id, count(*) as blocks, count(*) filter (where r <= 250 and turn % 2 = 0) as newly_changed from (select *, case when ok then sum(cast(ok as int)) over (partition by conv_id order by turn) end as r from {RETRY_SQL}) group by conv_id")
 def _(spark, d):
     again = retry_candidates(spark, d).withColumn("again", F.when(F.col("turn") % 2 == 0, F.lit("new")))
     all_ = S.load(spark, d, "conversations").select("conv_id", "turn", "text").join(again, ["conv_id", "turn"], "left")
@@ -395,9 +395,14 @@ def _(spark, d):
     return S.technical(spark, d).select("p_partkey", F.when(t.startswith(">>por_BR<<"), t).otherwise(F.concat(F.lit(">>por_BR<< "), t)).alias("sent"))
 
 
-@query("batch_mode", "select * from (values ('auto', true), ('on', true), ('off', false), ('none', false)) t(mode, batched)")
+MODES_SQL = "(select case when o_orderkey % 3 = 0 then 'libretranslate' when o_orderkey % 3 = 1 then 'mymemory' else 'dummy' end as provider, case o_custkey % 7 when 0 then null when 1 then 'auto' when 2 then ' On ' when 3 then 'off' when 4 then 'TRUE' when 5 then 'no' else '0' end as mode, o_orderkey from orders)"
+
+
+@query("batch_mode", f"select o_orderkey, provider, mode, case when lower(trim(mode)) in ('0', 'false', 'off', 'no') then false when lower(trim(mode)) in ('1', 'true', 'on', 'yes') then true else provider = 'libretranslate' end as batched from {MODES_SQL}")
 def _(spark, d):
-    return literal(spark, [("auto",), ("on",), ("off",), ("none",)], "mode string").select("mode", F.col("mode").isin("auto", "on", "yes", "true").alias("batched"))
+    rows = S.load(spark, d, "orders").selectExpr("o_orderkey", "case when o_orderkey % 3 = 0 then 'libretranslate' when o_orderkey % 3 = 1 then 'mymemory' else 'dummy' end as provider",
+        "case o_custkey % 7 when 0 then null when 1 then 'auto' when 2 then ' On ' when 3 then 'off' when 4 then 'TRUE' when 5 then 'no' else '0' end as mode")
+    return rows.withColumn("batched", P.batch_enabled(F.col("provider"), F.col("mode")))
 
 
 @query("provider_key", "select provider || '|g:' || left(sha256('{}'), 8) || '|dnt:' || left(sha256('[]'), 8) || '|em:relaxed' as key from (values ('dummy'), ('opusmt')) t(provider)")
@@ -582,40 +587,44 @@ def _(spark, d):
 # -- quality scan
 
 HIGH_SQL = "native_char_count >= 300 and changed_blocks + unchanged_blocks > 0 and unchanged_blocks / (changed_blocks + unchanged_blocks) >= 0.85"
-SCORE_SQL = f"""select page, {HIGH_SQL} as high_unchanged, cast(least(100, case when status in ('ok', 'ok_no_text') then 0 else 20 end + least(40, 10 * n_errors) + least(20, 5 * n_warnings) + case when {HIGH_SQL} then 10 else 0 end) as bigint) as score,
-  array_to_string(list_sort(list_filter([case when status not in ('ok', 'ok_no_text') then 'status:' || status end, case when n_errors > 0 then 'errors' end, case when n_warnings > 0 then 'warnings' end, case when {HIGH_SQL} then 'high_unchanged_ratio' end], lambda x: x is not null)), ',') as reasons from page_log"""
+LEAK_SQL = "(select *, page in (select page from output_pages where regexp_matches(text, '(?i)ZXQ|Z[XQ]{0,4}(?:ENT|GLOS)\\w*\\d')) as leak from page_log)"
+SCORE_SQL = f"""select page, high_unchanged, cast(case when leak then 100 else least(100, case when bad then 20 else 0 end + least(40, 10 * n_errors) + least(20, 5 * n_warnings) + case when high_unchanged then 10 else 0 end) end as bigint) as score,
+  array_to_string(list_sort(list_filter([case when bad then 'status_not_ok' end, case when n_errors > 0 then 'page_errors' end, case when n_warnings > 0 then 'page_warnings' end, case when high_unchanged then 'high_unchanged_ratio' end, case when leak then 'zxq_leak' end], lambda x: x is not null)), ',') as reasons
+  from (select *, {HIGH_SQL} as high_unchanged, status not in ('ok', 'ok_no_text') as bad from {LEAK_SQL})"""
+
+
+def scored_pages(spark, d):
+    return Q.page_scores(Q.with_leaks(S.page_log(spark, d), S.output_pages(spark, d)))
 
 
 @query("qa_page_score", SCORE_SQL)
 def _(spark, d):
-    return Q.page_scores(S.page_log(spark, d))
+    return scored_pages(spark, d).select("page", "high_unchanged", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("qa_top_risky", f"select * from ({SCORE_SQL}) order by score desc, page limit 10")
 def _(spark, d):
-    return Q.top_risky(S.page_log(spark, d))
+    return Q.top_risky(scored_pages(spark, d))
 
 
-@query("qa_summary", f"select count(*) as pages, count(*) filter (where status = 'ok') as ok_pages, count(*) filter (where n_errors > 0) as pages_with_errors, cast(sum(n_warnings) as bigint) as warnings, cast(sum(n_errors) as bigint) as errors, count(*) filter (where {HIGH_SQL}) as high_unchanged_pages from page_log")
+@query("qa_summary", f"select count(*) as pages, count(*) filter (where status = 'ok') as ok_pages, count(*) filter (where n_errors > 0) as pages_with_errors, cast(sum(n_warnings) as bigint) as warnings, cast(sum(n_errors) as bigint) as errors, count(*) filter (where {HIGH_SQL}) as high_unchanged_pages, count(*) filter (where leak) as zxq_leak_pages, cast(sum(llm_candidates) as bigint) as llm_candidates, cast(sum(llm_changed) as bigint) as llm_changed, cast(sum(llm_rejected) as bigint) as llm_rejected, case when sum(llm_candidates) > 0 then round_even(sum(llm_rejected) / sum(llm_candidates), 4) else 0.0 end as llm_rejected_ratio from {LEAK_SQL}")
 def _(spark, d):
-    return Q.summary(S.page_log(spark, d))
+    return Q.summary(scored_pages(spark, d))
 
 
-@query("qa_issues", f"select page, 'high_unchanged_ratio' as issue, round_even(unchanged_blocks / (changed_blocks + unchanged_blocks), 4) as ratio from page_log where {HIGH_SQL}")
+@query("qa_issues", f"select 'high_unchanged_ratio' as issue, 'warning' as severity, page, round_even(unchanged_blocks / (changed_blocks + unchanged_blocks), 4) as ratio, cast(null as bigint) as n from page_log where {HIGH_SQL} union all select 'zxq_leak', 'error', null, null, count(*) from {LEAK_SQL} where leak having count(*) > 0")
 def _(spark, d):
-    log = S.page_log(spark, d)
-    return log.join(Q.page_scores(log).where("high_unchanged").select("page"), "page").select("page", F.lit("high_unchanged_ratio").alias("issue"), Q.unchanged_ratio().alias("ratio"))
+    return Q.issues(scored_pages(spark, d))
 
 
-@query("qa_gate", f"select coalesce(max(score), 0) as max_score, coalesce(max(score), 0) >= 60 as failed from ({SCORE_SQL})")
+@query("qa_gate", f"select coalesce(max(score), 0) as max_score, coalesce(max(score), 0) >= 60 as score_failed, coalesce(bool_or(reasons like '%zxq_leak%'), false) as leak_failed from ({SCORE_SQL})")
 def _(spark, d):
-    s = F.coalesce(F.max("score"), F.lit(0))
-    return Q.page_scores(S.page_log(spark, d)).agg(s.alias("max_score"), (s >= 60).alias("failed"))
+    return Q.gates(scored_pages(spark, d), 60, True)
 
 
 @query("qa_text_report", f"select 'page ' || page || ': ' || score || ' (' || reasons || ')' as line from (select * from ({SCORE_SQL}) order by score desc, page limit 5)")
 def _(spark, d):
-    t = Q.top_risky(S.page_log(spark, d), 5)
+    t = Q.top_risky(scored_pages(spark, d), 5)
     return t.select(F.concat(F.lit("page "), "page", F.lit(": "), "score", F.lit(" ("), "reasons", F.lit(")")).alias("line"))
 
 
