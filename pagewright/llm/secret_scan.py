@@ -17,6 +17,8 @@ has 32 letters of both cases. Redaction replaces a secret wherever it stands in
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -179,6 +181,16 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 8) -> RandomForestC
     return RandomForestClassifier(featuresCol="features", labelCol="is_secret", numTrees=trees, maxDepth=depth, seed=7, subsamplingRate=0.8).fit(rows)
 
 
+@lru_cache(maxsize=2)
+def _default(application: str) -> RandomForestClassificationModel:
+    """The forest of the generated findings, fitted once an application: it doesn't depend on what is scanned."""
+    return train(labelled_findings(SparkSession.active()))
+
+
+def default_model(spark: SparkSession) -> RandomForestClassificationModel:
+    return _default(spark.sparkContext.applicationId)
+
+
 def _numbers(values: list, kind: str) -> str:
     """An array that the optimizer makes a constant."""
     return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
@@ -217,7 +229,7 @@ def findings(text: str, model: RandomForestClassificationModel, threshold: float
 
 def judged(docs: DataFrame, model: RandomForestClassificationModel | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, at, value, probability, is_secret of every candidate; at is null for the body of a private key."""
-    model = model or train(labelled_findings(docs.sparkSession))
+    model = model or default_model(docs.sparkSession)
     # An outer explode: of another the optimizer would put a filter, with a second copy of the whole, before it.
     found = docs.select("doc_id", F.explode_outer(findings("text", model, threshold)).alias("s"))
     return found.where("s.value is not null").select("doc_id", "s.at", "s.value", "s.probability", "s.is_secret")
@@ -230,7 +242,7 @@ def scan_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """docs with MASK in place of every secret; every row stays."""
-    found = boxed(docs).select("row", findings("row.text", model or train(labelled_findings(docs.sparkSession))).alias("found"))
+    found = boxed(docs).select("row", findings("row.text", model or default_model(docs.sparkSession)).alias("found"))
     # Longest first, so that no secret is cut by another that it holds.
     secrets = "array_distinct(transform(filter(found, s -> s.is_secret), s -> s.value))"
     order = "(a, b) -> case when char_length(a) <> char_length(b) then char_length(b) - char_length(a) when a < b then -1 when a > b then 1 else 0 end"
