@@ -1,7 +1,8 @@
-"""What the driver holds: the executions, plans and models of a run."""
+"""What the driver holds, and how much is made of large groups."""
 
 import random
 
+import numpy as np
 import pytest
 
 from pagewright.llm import components, near_dedup, secret_scan
@@ -42,13 +43,14 @@ def test_components_across_partitions(spark, monkeypatch, merged):
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
 
 
-def test_near_dedup_takes_few_executions(spark):
-    rows = [(i, " ".join(f"w{i // 3}_{k}" if k != i % 3 else "x" for k in range(90))) for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    before = executions(spark).executionsCount()
-    kept = near_dedup.keep_one_each(docs).collect()
-    assert sorted(r.doc_id for r in kept) == list(range(0, 30, 3))
-    assert executions(spark).executionsCount() - before <= 21
+def test_group_parts_meet_in_their_nearest_pair():
+    """Two parts of a group of near copies are tried with one pair, the first and the last, not with all 400."""
+    root, wide = np.repeat([0, 20], 20), [np.full(4, 1 << k, np.uint64) for k in range(40)]
+    wide[39] = wide[0].copy()
+    given = np.arange(40), np.full(40, 300), root, wide
+    assert near_dedup.pairs_of(*given, nearest=True) == [(0, 39)]
+    every = near_dedup.pairs_of(*given)
+    assert sorted(every) == [(i, j) for i in range(20) for j in range(20, 40)]
 
 
 def test_forest_keeps_no_plan(spark):
